@@ -28,6 +28,16 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, f"[{SPACE}]+", -1), lambda w: w != "")
 
 
+def literal_doubles(values: list[float]) -> Column:
+    """A constant array, folded by the optimizer, for tables of a fixed size."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, also where body's own lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it; a local one of our own only where unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from morphlake.llm import exact_dedup, token_files
+from morphlake.llm import chat_format, exact_dedup, personal_data, quality_rules, secrets, token_files
 
-_MODULES = (exact_dedup, token_files)
+_MODULES = (chat_format, exact_dedup, personal_data, quality_rules, secrets, token_files)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
