@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from morphlake.llm.common import Stored, clean_text, store, table
-from morphlake.llm.tokens import END_ID, encoder, end_bytes, vocabulary_path
+from morphlake.llm.tokens import END_ID, encode_texts, encoder, vocabulary_path
 
 BLOCK = 128
 PERCENTILE = 0.9
@@ -133,23 +133,23 @@ _SHARDS = "part int, shard int, n_docs long, n_ids long, data binary"
 
 def _shards(path: str, end_id: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end, part, shard = encoder(path), end_bytes(end_id), TaskContext.get().partitionId(), 0
+        words, part, shard = encoder(path), TaskContext.get().partitionId(), 0
         keys, pieces, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            ids, ends = np.frombuffer(b"".join(pieces), "<u4"), np.cumsum([len(p) // 4 for p in pieces])
-            row = [[part], [shard], [len(keys)], [len(ids)], [encode_shard(ids, keys, ends)]]
+            row = [[part], [shard], [len(keys)], [size], [encode_shard(np.concatenate(pieces), keys, np.cumsum([len(p) for p in pieces]))]]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "shard", "n_docs", "n_ids", "data"])
 
         for batch in batches:
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = words.encode(text.as_py(), end)
-                if keys and size + len(ids) > 4 * shard_ids:
-                    yield flush()
-                    keys, pieces, size, shard = [], [], 0, shard + 1
-                keys.append(key)
-                pieces.append(ids)
-                size += len(ids)
+            own = batch.column("doc_id").to_pylist()
+            for first, ids, ends in encode_texts(batch.column("text"), words, end_id):
+                for key, a, b in zip(own[first:], [0, *ends.tolist()], ends.tolist()):  # noqa: B905  own is longer
+                    if keys and size + b - a > shard_ids:
+                        yield flush()
+                        keys, pieces, size, shard = [], [], 0, shard + 1
+                    keys.append(key)
+                    pieces.append(ids[a:b].copy())
+                    size += b - a
         if keys:
             yield flush()
 
@@ -161,7 +161,7 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
 
     One range exchange deals out the texts. A task holds one shard at a time, never all its documents.
     """
-    docs = docs.select("doc_id", clean_text().cast("binary").alias("text"))
+    docs = docs.select("doc_id", clean_text().alias("text"))
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return store(ordered.mapInArrow(_shards(path or vocabulary_path(), end_id, shard_ids), _SHARDS), "shards")
 
