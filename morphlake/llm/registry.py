@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from morphlake.llm import chat_format, exact_dedup, personal_data, quality_rules, secrets, simhash, token_files
+from morphlake.llm import chat_format, exact_dedup, mixing, packing, personal_data, pu_quality, quality_rules, secrets, simhash, token_files
 
-_MODULES = (quality_rules, secrets, personal_data, chat_format, simhash, exact_dedup, token_files)
+_MODULES = (packing, pu_quality, quality_rules, secrets, personal_data, chat_format, mixing, simhash, exact_dedup, token_files)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
