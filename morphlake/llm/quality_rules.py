@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from morphlake.llm.common import SPACE, clean_text, let, literal_doubles, table, words
 
-BUCKETS = 1 << 14
-LEAST = -0.5
-SMOOTHING = 1.0
+BUCKETS = 1 << 16
+LEAST = -0.1
+SMOOTHING = 15.0
 #: Ids of good documents (8 bytes each) that are broadcast at most.
 BROADCAST_IDS = 1_000_000
 SYMBOLS = "[#*$%&|<>]"
@@ -50,7 +50,11 @@ def good_ids(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> list[float]:
-    """log p(feature | trusted) - log p(feature | raw) for every bucket."""
+    """log p(feature | trusted) - log p(feature | raw) for every bucket.
+
+    Both shares are smoothed by the same pseudo-count on the scale of trusted counts, so what a small corpus shows once or
+    twice says nothing, and what it shows often says as much as in a large one.
+    """
     good = good_ids(labels)
     good = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
     hashed = docs.select("doc_id", clean_text().alias("text")).join(good, F.col("doc_id") == F.col("__good"), "left")
@@ -60,11 +64,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> list[float]:
     found = {r["bucket"]: (r["trusted"], r["raw"]) for r in counts.collect()}
     out = [0.0] * BUCKETS
     for half in (range(BUCKETS // 2), range(BUCKETS // 2, BUCKETS)):
-        totals = [sum(found.get(b, (0, 0))[k] for b in half) + SMOOTHING * len(half) for k in (0, 1)]
-        if totals[0] > SMOOTHING * len(half):
-            for b in half:
-                t, r = found.get(b, (0, 0))
-                out[b] = math.log((t + SMOOTHING) / totals[0]) - math.log((r + SMOOTHING) / totals[1])
+        trusted, raw = (sum(found.get(b, (0, 0))[k] for b in half) for k in (0, 1))
+        for b in half if trusted else ():
+            t, r = found.get(b, (0, 0))
+            out[b] = math.log((t + SMOOTHING) / (r * trusted / raw + SMOOTHING))
     return out
 
 
