@@ -22,60 +22,67 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphlake.llm.common import SPACE, clean_text, let, literal_doubles, table, words
+from morphlake.llm.common import SPACE, clean_text, let, table, words
 
 BUCKETS = 1 << 16
 LEAST = -0.1
 SMOOTHING = 15.0
+STEP = 1 / 32
 #: Ids of good documents (8 bytes each) that are broadcast at most.
 BROADCAST_IDS = 1_000_000
 SYMBOLS = "[#*$%&|<>]"
 
 
-def _features(hashes: Column) -> Column:
-    """Buckets of words (lower half) and of pairs of neighbouring words (upper half), from the words' hashes."""
-    half = BUCKETS // 2
-    one = F.transform(hashes, lambda h: F.pmod(h, F.lit(half)).cast("int"))
+def _hashes(found: Column) -> Column:
+    return F.transform(found, lambda w: F.xxhash64(w))
+
+
+def _pairs(hashes: Column) -> Column:
+    """Hashes of neighbouring words' hashes."""
     after = F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0)))
-    two = F.transform(F.arrays_zip(F.slice(hashes, 1, F.size(after)).alias("a"), after.alias("b")), lambda p: (F.pmod(F.xxhash64(p["a"], p["b"]), F.lit(half)) + half).cast("int"))
-    return F.concat(one, two)
+    return F.zip_with(F.slice(hashes, 1, F.size(after)), after, lambda a, b: F.xxhash64(a, b))
 
 
-def _hashes(found: Column) -> Column:
-    return F.transform(found, lambda w: F.xxhash64(w))
+def _bucket(hashed: Column, pair: bool) -> Column:
+    """Words fall into the lower half of the buckets, pairs into the upper half."""
+    half = BUCKETS // 2
+    return hashed.bitwiseAND(F.lit(half - 1)).cast("int") + (half if pair else 0)
 
 
 def good_ids(labels: DataFrame) -> DataFrame:
     return labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__good")).distinct()
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> list[float]:
-    """log p(feature | trusted) - log p(feature | raw) for every bucket.
+def fit(docs: DataFrame, labels: DataFrame) -> list[int]:
+    """log p(feature | trusted) - log p(feature | raw) for every bucket, in whole steps of ``STEP``.
 
     Both shares are smoothed by the same pseudo-count on the scale of trusted counts, so what a small corpus shows once or
-    twice says nothing, and what it shows often says as much as in a large one.
+    twice says nothing, and what it shows often says as much as in a large one. Whole steps make a document's sum exact
+    in any order and the table small enough to stay in a core's cache.
     """
     good = good_ids(labels)
     good = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
     hashed = docs.select("doc_id", clean_text().alias("text")).join(good, F.col("doc_id") == F.col("__good"), "left")
     hashed = hashed.select(F.col("__good").isNotNull().alias("good"), _hashes(words(F.col("text"))).alias("h"))
-    exploded = hashed.select("good", F.explode(_features(F.col("h"))).alias("bucket"))
+    paired = hashed.select("good", "h", _pairs(F.col("h")).alias("p"))
+    features = F.concat(F.transform("h", lambda h: _bucket(h, False)), F.transform("p", lambda h: _bucket(h, True)))
+    exploded = paired.select("good", F.explode(features).alias("bucket"))
     counts = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count(F.when(F.col("good"), 1)).alias("trusted"))
     found = {r["bucket"]: (r["trusted"], r["raw"]) for r in counts.collect()}
-    out = [0.0] * BUCKETS
+    out = [0] * BUCKETS
     for half in (range(BUCKETS // 2), range(BUCKETS // 2, BUCKETS)):
         trusted, raw = (sum(found.get(b, (0, 0))[k] for b in half) for k in (0, 1))
         for b in half if trusted else ():
             t, r = found.get(b, (0, 0))
-            out[b] = math.log((t + SMOOTHING) / (r * trusted / raw + SMOOTHING))
+            ratio = math.log((t + SMOOTHING) / (r * trusted / raw + SMOOTHING))
+            out[b] = max(-127, min(127, round(ratio / STEP)))
     return out
 
 
-def _windows(hashes: Column) -> Column:
-    """Hashes (64 bits) of the three-word windows."""
+def _windows(hashes: Column, pairs: Column) -> Column:
+    """Hashes (64 bits) of the three-word windows, from those of the pairs and of the words behind them."""
     n = F.greatest(F.size(hashes) - 2, F.lit(0))
-    zipped = F.arrays_zip(F.slice(hashes, 1, n).alias("a"), F.slice(hashes, 2, n).alias("b"), F.slice(hashes, 3, n).alias("c"))
-    return F.transform(zipped, lambda w: F.xxhash64(w["a"], w["b"], w["c"]))
+    return F.zip_with(F.slice(pairs, 1, n), F.slice(hashes, 3, n), lambda p, h: F.xxhash64(p, h))
 
 
 def _covered(windows: Column) -> Column:
@@ -98,7 +105,7 @@ def _covered(windows: Column) -> Column:
     return let(let(keyed, hits), words_at)
 
 
-def judge(docs: DataFrame, model: list[float], least: float = LEAST) -> DataFrame:
+def judge(docs: DataFrame, model: list[int], least: float = LEAST) -> DataFrame:
     """The documents with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed and kept."""
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept")
     own = [c for c in docs.columns if c not in made]
@@ -110,10 +117,17 @@ def judge(docs: DataFrame, model: list[float], least: float = LEAST) -> DataFram
         (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.when(F.contains(text, F.lit("\n")), F.size(lines) - F.size(F.array_distinct(lines))).otherwise(0).cast("long").alias("n_dup_lines"),
     )
-    hashed = counted.select(*own, "n_symbols", "n_dup_lines", F.size("__words").cast("long").alias("n_words"), F.length(F.array_join("__words", "")).cast("long").alias("word_chars"), _hashes(F.col("__words")).alias("__hashes"))
-    weights, buckets = literal_doubles(model), _features(F.col("__hashes"))
-    total = F.aggregate(buckets, F.lit(0.0), lambda sum_, b: sum_ + F.element_at(weights, b + 1))
-    scored = hashed.select(*own, "n_symbols", "n_dup_lines", "n_words", "word_chars", (total / F.greatest(2 * F.col("n_words") - 1, F.lit(1))).alias("score"), _windows(F.col("__hashes")).alias("__windows"))
+    kept = [*own, "n_symbols", "n_dup_lines"]
+    hashed = counted.select(*kept, F.size("__words").cast("long").alias("n_words"), F.length(F.array_join("__words", "")).cast("long").alias("word_chars"), _hashes(F.col("__words")).alias("__hashes"))
+    kept += ["n_words", "word_chars"]
+    paired = hashed.select(*kept, "__hashes", _pairs(F.col("__hashes")).alias("__pairs"))
+    weights = F.split(F.lit(",".join(map(str, model))), ",").cast("array<tinyint>")  # folded to a constant
+
+    def steps(hashes: str, pair: bool) -> Column:
+        return F.aggregate(hashes, F.lit(0), lambda total, h: total + F.get(weights, _bucket(h, pair)))
+
+    features = F.greatest(2 * F.col("n_words") - 1, F.lit(1))
+    scored = paired.select(*kept, ((steps("__hashes", False) + steps("__pairs", True)) * STEP / features).alias("score"), _windows(F.col("__hashes"), F.col("__pairs")).alias("__windows"))
     repeated = F.when(F.size(F.array_distinct("__windows")) == F.size("__windows"), 0).otherwise(_covered(F.col("__windows"))).cast("long")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     found = scored.withColumn("n_repeat_words", repeated).drop("__windows").withColumn("base_failed", failed)

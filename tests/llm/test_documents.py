@@ -294,7 +294,8 @@ def likelihood(texts: dict, good: set) -> dict:
     a, out = quality_rules.SMOOTHING, {}
     sums = [[sum(v for k, v in c.items() if (k >= half) == upper) for upper in (False, True)] for c in (trusted, raw)]
     for i, g in every.items():
-        total = sum(np.log((trusted[b] + a) / (raw[b] * sums[0][b >= half] / sums[1][b >= half] + a)) for b in g)
+        ratios = (np.log((trusted[b] + a) / (raw[b] * sums[0][b >= half] / sums[1][b >= half] + a)) for b in g)
+        total = sum(max(-127, min(127, round(x / quality_rules.STEP))) for x in ratios) * quality_rules.STEP
         out[i] = total / max(1, len(g))
     return out
 
@@ -318,7 +319,7 @@ def test_quality_rules_awkward(spark, folder, texts, docs, none):
             assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == base_rules(texts[r["doc_id"]])
     no_labels = spark.createDataFrame([], "doc_id long, quality int")
     model = quality_rules.fit(docs, no_labels)
-    assert set(model) == {0.0} and quality_rules.judge(docs, model).filter("kept <> (not base_failed)").count() == 0
+    assert set(model) == {0} and quality_rules.judge(docs, model).filter("kept <> (not base_failed)").count() == 0
     assert quality_rules.judge(none, quality_rules.fit(none, no_labels)).count() == 0
 
 
