@@ -71,5 +71,10 @@ def store(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Stor
     return Stored(df.sparkSession, path)
 
 
-def in_arrow(fn: Callable, schema: str) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: df.mapInArrow(fn, schema)
+#: Bytes that a broadcast side may take, as its rows are counted; a larger side is joined by an exchange.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(rows: DataFrame, row_bytes: int) -> DataFrame:
+    """The rows of a stored table, with a broadcast hint if their counted number keeps them within BROADCAST_BYTES."""
+    return F.broadcast(rows) if rows.count() * row_bytes <= BROADCAST_BYTES else rows

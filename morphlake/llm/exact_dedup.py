@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from morphlake.llm import fuse_filter
-from morphlake.llm.common import SPACE, Stored, clean_text, store, table
+from morphlake.llm.common import SPACE, Stored, clean_text, small, store, table
 
 #: Distinct digests a bucket aims at, and rows of one group that share a copy of its text.
 BUCKET_KEYS = 50_000
@@ -132,10 +132,10 @@ def _id_of(best: str = "best") -> Column:
     return F.bitwise_not(F.col(f"{best}.id"))
 
 
-def _checked(docs: DataFrame, rows: DataFrame, classes: DataFrame, names: Digests, salt_rows: int) -> DataFrame:
+def _checked(docs: DataFrame, tagged: DataFrame, names: Digests, salt_rows: int) -> DataFrame:
     """Rows of groups after the check of bytes: doc_id, n, digest, sha, keep_id, size, and the text where it differs."""
-    grouped = classes.filter("size > 1").select("digest", "sha", "size", _id_of().alias("keep_id"))
-    members = rows.join(grouped, ["digest", "sha"]).select(F.col("doc_id").alias("id"), "digest", "sha", "size", "keep_id").distinct()
+    members = tagged.filter("size > 1").select(F.col("doc_id").alias("id"), "digest", "sha", "size", "keep_id").distinct()
+    members = small(store(members, "members").df, 160)
     texts = docs.select("doc_id", clean_text().alias("text")).join(members, F.col("doc_id").eqNullSafe(F.col("id")))
     texts = texts.select("doc_id", F.length("text").cast("long").alias("n"), normalised(F.col("text")).alias("norm"), "digest", "sha", "size", "keep_id")
     texts = store(texts.filter((names.key(F.col("norm")) == F.col("digest")) & (names.wide(F.col("norm")) == F.col("sha"))), "grouped")
@@ -166,11 +166,11 @@ def groups(docs: DataFrame, incoming: Column | None = None, names: Digests | Non
     snapshot = build_snapshot(rows.filter("not incoming"))
     batch = store(_classes(rows.filter("incoming")), "batch").df
     classes = store(merge(batch, snapshot), "classes").df
-    checked = store(_checked(docs, rows, classes, names, salt_rows), "checked").df
+    tagged = store(rows.join(classes.select("digest", "sha", "size", _id_of().alias("keep_id")), ["digest", "sha"]), "tagged").df
+    checked = store(_checked(docs, tagged, names, salt_rows), "checked").df
     if checked.filter("other is not null").limit(1).count():
         checked = _regrouped(checked)
-    lone = rows.join(classes.filter("size = 1"), ["digest", "sha"], "left_semi")
-    lone = lone.select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
+    lone = tagged.filter("size = 1").select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     turn = F.row_number().over(W.partitionBy("digest", "sha", "other", "doc_id").orderBy(F.desc("n")))
     kept = checked.filter(stays).withColumn("kept", turn == 1).unionByName(checked.filter(~stays).withColumn("kept", F.lit(False)))
@@ -184,7 +184,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     keys = found.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("times"))
     odd = store(keys.filter("not kept or times > 1").select(F.col("doc_id").alias("__odd_id"), F.col("digest").alias("__odd_digest"), "kept"), "odd").df
     same = F.col("doc_id").eqNullSafe(F.col("__odd_id")) & (names.key(normalised(clean_text())) == F.col("__odd_digest"))
-    rest = docs.join(odd.drop("kept"), same, "left_anti")
+    rest = docs.join(small(odd.drop("kept"), 80), same, "left_anti")
     if not odd.filter("kept").limit(1).count():
         return rest
     return rest.unionByName(docs.join(odd.filter("kept").drop("kept"), same, "left_semi").dropDuplicates(["doc_id"]))

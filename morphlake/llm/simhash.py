@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphlake.llm.common import clean_text, store, table
+from morphlake.llm.common import clean_text, small, store, table
 from morphlake.llm.components import roots
 
 SHINGLE = 3
@@ -138,9 +138,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     found = store(near_duplicates(docs, **options), "near").df
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     ids = store(found.groupBy("doc_id").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("times")), "stays").df
-    odd = ids.filter("not stays or times > 1").select(F.col("doc_id").alias("__odd_id"), "stays")
+    odd = store(ids.filter("not stays or times > 1").select(F.col("doc_id").alias("__odd_id"), "stays"), "odd").df
     same = F.col("doc_id").eqNullSafe(F.col("__odd_id"))
-    rest = docs.join(odd.drop("stays"), same, "left_anti")
+    rest = docs.join(small(odd.drop("stays"), 64), same, "left_anti")
     if not odd.filter("stays").limit(1).count():
         return rest
     return rest.unionByName(docs.join(odd.filter("stays").drop("stays"), same, "left_semi").dropDuplicates(["doc_id"]))
