@@ -134,6 +134,17 @@ def judge(docs: DataFrame, model: list[int], least: float = LEAST) -> DataFrame:
     return found.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least))
 
 
+def keep(docs: DataFrame, model: list[int], least: float = LEAST) -> DataFrame:
+    """The documents that ``judge`` keeps, with all their columns, whatever their names.
+
+    The number that the filter reads as well cannot be computed twice, and so Spark computes the verdict once: a filter on
+    the verdict alone would be moved below the columns it is made of and repeat them.
+    """
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
+    judged = judge(rows, model, least).select("__row", "kept", F.monotonically_increasing_id().alias("__no"))
+    return judged.filter(F.col("kept") & (F.col("__no") >= 0)).select("__row.*")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = judge(docs, fit(docs, table(spark, sf_dir, "labels")))
