@@ -43,11 +43,17 @@ def _spread(texts: DataFrame) -> DataFrame:
     return texts if texts.rdd.getNumPartitions() >= wanted else texts.repartition(wanted)
 
 
-def _by_arrow(texts: DataFrame, dictionary: DataFrame, keys: list[str], text: str, tokenizer: str, variant: Variant, out: str) -> DataFrame:
+def _collected(dictionary: DataFrame, variant: Variant, most: int | None) -> pa.Table | None:
+    """The dictionary as the variant reads it, in bytes; None if it has more rows than that. Evaluated once."""
     lemma = F.col("lemma") if variant.lemma_bytes is None else cut_text(F.col("lemma"), variant.lemma_bytes)
     if variant.empty_is_miss:
         lemma = F.when(lemma == "", F.col("key")).otherwise(lemma)
-    rows = dictionary.select(F.col("key").cast("binary").alias("key"), lemma.cast("binary").alias("lemma")).toArrow()
+    rows = dictionary.select(F.col("key").cast("binary").alias("key"), lemma.cast("binary").alias("lemma"))
+    found = (rows if most is None else rows.limit(most + 1)).toArrow()
+    return found if most is None or found.num_rows <= most else None
+
+
+def _by_arrow(texts: DataFrame, rows: pa.Table, keys: list[str], text: str, tokenizer: str, variant: Variant, out: str) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(dict(zip(rows["key"].to_pylist(), rows["lemma"].to_pylist(), strict=True)))
     split = (lambda x: pc.ascii_split_whitespace(pc.ascii_trim_whitespace(x))) if tokenizer == "whitespace" else (lambda x: pc.split_pattern(x, " "))
 
@@ -71,10 +77,15 @@ def _by_arrow(texts: DataFrame, dictionary: DataFrame, keys: list[str], text: st
 
 def lemmatize_texts(texts: DataFrame, dictionary: DataFrame, keys: list[str], text: str = "text", tokenizer: str = "whitespace", variant: Variant = SINGLE_THREAD, plan: str = "auto", out: str = "lemmatized") -> DataFrame:
     """The keys, which must be unique, and the lemmatized text; texts without tokens have no row."""
-    if plan == "auto":
-        fits = variant.token_bytes is None and variant.misses and dictionary.limit(ARROW_ROWS + 1).count() <= ARROW_ROWS
-        plan = "arrow" if fits else "join"
-    return {"arrow": _by_arrow, "join": _by_join}[plan](texts, dictionary, keys, text, tokenizer, variant, out)
+    given = (keys, text, tokenizer, variant, out)
+    possible = variant.token_bytes is None and variant.misses
+    if plan == "arrow" or (plan == "auto" and possible):
+        if not possible:
+            raise ValueError("the Arrow plan neither cuts tokens nor drops misses")
+        rows = _collected(dictionary, variant, None if plan == "arrow" else ARROW_ROWS)
+        if rows is not None:
+            return _by_arrow(texts, rows, *given)
+    return _by_join(texts, dictionary, *given)
 
 
 def lemmatize_columnar(texts: DataFrame, dictionary: DataFrame, keys: list[str], text: str = "text", plan: str = "auto", out: str = "lemmatized") -> DataFrame:

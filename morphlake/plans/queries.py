@@ -270,7 +270,7 @@ _WHOLE = k.Variant(lower=True, lemma_bytes=None)
 
 @_query("lemmatize_documents_ws", _FLAGSHIP)
 def lemmatize_documents_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return z.lemmatize_texts(_table(spark, sf_dir, "documents"), _corpus_dictionary(spark, sf_dir).cache(), ["doc_id"], variant=_WHOLE)
+    return z.lemmatize_texts(_table(spark, sf_dir, "documents"), _corpus_dictionary(spark, sf_dir), ["doc_id"], variant=_WHOLE)
 
 
 @_query("lemmatize_fast", _FLAGSHIP)

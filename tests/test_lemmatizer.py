@@ -165,3 +165,19 @@ def test_stream(spark, tmp_path, parsed):
     lemmatize_batches(stream, d.trie_dictionary(parsed).cache(), ["id"], str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     rows = {r["id"]: r["lemmatized"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert rows[1] == "теплий ходити" and 7 not in rows
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from morphlake.cli import main
+
+    source, text = tmp_path / "dict.csv", tmp_path / "in.txt"
+    source.write_bytes(("form,lemma\n" + "\n".join(fx.LINES) + "\n").encode())
+    text.write_bytes("Теплому ходив\n\nдвері\n".encode())
+    assert main([str(source), str(text)]) == 0
+    assert capsys.readouterr().out == "теплий ходити\n\nдвері\n"
+    for variant in ("single_thread", "stride", "bounded"):
+        assert main([str(source), str(text), str(tmp_path / variant), "--variant", variant]) == 0
+        out = "".join(p.read_text() for p in sorted((tmp_path / variant).glob("part-*")))
+        assert out == ("теплий ходити\n\n\n" if variant == "single_thread" else "теплий ходити\n\nдвері\n")
+    assert main([str(source), str(text), "--seconds", "0"]) == 0
+    assert "1 iterations" in capsys.readouterr().err
