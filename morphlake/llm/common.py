@@ -71,6 +71,19 @@ def store(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Stor
     return Stored(df.sparkSession, path)
 
 
+def trim() -> None:
+    """Gives freed memory of a Python worker back to the system; workers stay alive between stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 #: Bytes that a broadcast side may take, as its rows are counted; a larger side is joined by an exchange.
 BROADCAST_BYTES = 64 << 20
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from morphlake.llm.common import clean_text, store, table
+from morphlake.llm.common import clean_text, store, table, trim
 
 TOPICS = 8
 LONG_WORD = 6
@@ -64,6 +64,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [_counts(x.as_py()) for x in batch.column("text")]
         tokens, counts = pa.array([n for n, _ in rows], pa.int64()), pa.array([c.tolist() for _, c in rows], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "source", "lang")] + [tokens, counts], ["doc_id", "source", "lang", "tokens", "counts"])
+        trim()
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -179,6 +180,7 @@ def mix(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:  # noqa: B0
         for batch in batches:
             own = [topic_of(_counts((x.as_py() or "").encode())[1], shares) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32())], [*batch.schema.names, "__own_topic"])
+            trim()
 
     schema = T.StructType([*docs.schema.fields, T.StructField("__own_topic", T.IntegerType())])
     return _sampled(docs.mapInArrow(topics, schema), cells, targets.seed).filter("__kept").select(*columns)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from morphlake.llm.common import clean_text, store, table
+from morphlake.llm.common import clean_text, store, table, trim
 from morphlake.llm.tokens import END_ID, encode_texts, encoder, vocabulary_path
 
 WINDOW = 4096
@@ -239,6 +239,8 @@ def _token_rows(path: str, end_id: int):
                 data = pa.array([raw[size * a : size * b].tobytes() for a, b in zip(starts, ends.tolist(), strict=True)], pa.binary())
                 counts = pa.array(np.diff(ends, prepend=0).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first : first + len(ends)], counts, data], ["doc_id", "n", "ids"])
+                del raw, data, ids
+            trim()
 
     return run
 

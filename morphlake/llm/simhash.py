@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphlake.llm.common import clean_text, small, store, table
+from morphlake.llm.common import clean_text, small, store, table, trim
 from morphlake.llm.components import roots
 
 SHINGLE = 3
@@ -59,6 +59,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         values = [fingerprint(text.as_py()) for text in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.int64())], ["doc_id", "fp"])
+        trim()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

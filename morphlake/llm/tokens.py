@@ -64,7 +64,7 @@ class _Cache(dict):
 class Encoder:
     """One vocabulary file; ``word`` takes lower-case Latin letters, ``chunk`` any text without white space around it."""
 
-    def __init__(self, path: str, limit: int = 250_000, longest: int = 40):
+    def __init__(self, path: str, limit: int = 100_000, longest: int = 40):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -107,16 +107,15 @@ def _numbered(values: pa.Array) -> tuple[np.ndarray, list[str]]:
     return coded.indices.to_numpy(), coded.dictionary.to_pylist()
 
 
-def encode_texts(texts: pa.Array, words: Encoder, end_id: int = END_ID, step: int = 8 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def encode_texts(texts: pa.Array, words: Encoder, end_id: int = END_ID, step: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(number of the first text, ids, ends) for runs of texts; text k of a run has ids[ends[k - 1] : ends[k]].
 
     Within a run every different word, punctuation and other chunk is looked up once; the ids of all occurrences are
     then gathered by position. A null text has the end id alone.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     for first, last in _slices(sizes, step):
-        lists = pc.ascii_split_whitespace(texts[first:last])
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts[first:last].cast(pa.large_string()), ""))
         offsets = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
         chunks, which = coded.dictionary, coded.indices.to_numpy()
