@@ -1,7 +1,7 @@
 """Quality classifier by positive-unlabelled learning.
 
 A document's features are shares of bytes and words (symbols, capitals, digits, repeats, line and word shapes) and hashed
-word shapes. A logistic model minimises the non-negative unbiased risk
+word shapes; every word of a text counts. A logistic model minimises the non-negative unbiased risk
 
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
 
@@ -20,7 +20,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +39,7 @@ HASHED = 64
 _SYMBOLS = np.frombuffer(b"#*$%&|<>@^~_={}[]\\/", np.uint8)
 _STOPS = np.frombuffer(b".,;:!?", np.uint8)
 _SHAPE = bytes(ord("A") if 65 <= b < 91 else ord("a") if 97 <= b < 123 or b >= 128 else ord("0") if 48 <= b < 58 else b for b in range(256))
-_RUNS = re.compile(rb"([Aa0])\1+")
+_RUNS = np.isin(np.arange(256), np.frombuffer(b"Aa0", np.uint8))
 NUMBERS = 16
 
 
@@ -67,19 +67,27 @@ def features(text: bytes) -> np.ndarray:
     lines = [x for x in text.split(b"\n") if x.strip()]
     out[11] = len(set(lines)) / max(1, len(lines))
     out[12] = min(1, len(lines) / n * 5)
-    part = found[:: max(1, n // 400)]
-    shapes = {}
-    for word in part:
-        shape = _RUNS.sub(rb"\1", word.translate(_SHAPE))[:6]
-        shapes[shape] = shapes.get(shape, 0) + 1
+    shapes: Counter[bytes] = Counter()
+    for shape, times in Counter(_shaped(text).split()).items():
+        shapes[shape[:6]] += times
+    hashed = [0] * HASHED
     for shape, times in shapes.items():
-        out[NUMBERS + _hash(shape) % HASHED] += times / len(part)
-    out[13] = 1 - sum(v for s, v in shapes.items() if s[-1:] in b"Aa0.,") / len(part)
+        hashed[_hash(shape) % HASHED] += times
+    out[NUMBERS:] = np.array(hashed) / n
+    out[13] = 1 - sum(v for s, v in shapes.items() if s[-1:] in b"Aa0.,") / n
     out[14] = out[10] * out[0]
     out[15] = max(map(len, found)) > 60
     return out
 
 
+def _shaped(text: bytes) -> bytes:
+    """The whole text with every letter and digit as its class and each run of a class as one; white space stays."""
+    found = np.frombuffer(text.translate(_SHAPE), np.uint8)
+    stays = np.ones(len(found), bool)
+    stays[1:] = (found[1:] != found[:-1]) | ~_RUNS[found[1:]]
+    return found[stays].tobytes()
+
+
 def _hash(shape: bytes) -> int:
     value = 0
     for b in shape:
