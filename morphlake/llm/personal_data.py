@@ -64,7 +64,7 @@ def _entity(span: Column) -> Column:
 
 
 def _windows(found: DataFrame, window: int) -> DataFrame:
-    """A row an entity's occurrence: doc_id, key, entity, context (a hash of the window's text), terms with positions."""
+    """A row an entity's occurrence: doc_id, key, entity, first (where the window starts), context (a hash of the window's text), terms with positions."""
 
     def around(s: Column) -> Column:
         first = F.greatest(s["start"] - window, F.lit(0))
@@ -73,7 +73,7 @@ def _windows(found: DataFrame, window: int) -> DataFrame:
     near = found.select("doc_id", "key", F.explode(F.transform("base", around)).alias("w")).select("doc_id", "key", "w.*")
     near = near.withColumn("found", spans.find(F.col("cut"), TERM)).withColumn("own", base_spans(F.col("cut")))
     terms = F.transform(F.filter("found", lambda t: ~spans.overlaps(t, F.col("own"))), lambda t: F.struct((t["start"] + F.col("first")).alias("start"), (t["end"] + F.col("first")).alias("end"), F.lower(t["match"]).alias("term")))
-    return near.select("doc_id", "key", "entity", F.xxhash64("cut").alias("context"), terms.alias("terms"))
+    return near.select("doc_id", "key", "entity", "first", F.xxhash64("cut").alias("context"), terms.alias("terms"))
 
 
 def revealing_terms(docs: DataFrame, windows: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
@@ -97,7 +97,7 @@ def find_personal_data(docs: DataFrame, window: int = WINDOW, support: int = SUP
     texts = docs.select("doc_id", clean_text().alias("text"))
     rows = texts.select("doc_id", F.xxhash64("text").alias("key"), base_spans(F.col("text")).alias("base"), "text")
     rows = store(rows.select("doc_id", "key", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "patterns").df
-    windows = store(_windows(rows.filter(F.size("base") > 0), window).dropDuplicates(["doc_id", "key", "entity", "context"]), "windows").df
+    windows = store(_windows(rows.filter(F.size("base") > 0), window).dropDuplicates(["doc_id", "key", "entity", "first", "context"]), "windows").df
     flagged = revealing_terms(docs, windows, support, generalise)
     marks = windows.select("doc_id", "key", "entity", F.explode("terms").alias("t")).select("doc_id", "key", "entity", "t.*").join(flagged, ["entity", "term"])
     kind = F.when(F.col("share") >= remove, "removed").otherwise("term")

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 
+from morphlake.llm import personal_data as pii
 from morphlake.llm import pu_quality
 
 
@@ -29,3 +30,21 @@ def test_word_shapes_of_long_texts():
         assert np.allclose(pu_quality.features(text)[pu_quality.NUMBERS :], shape_shares(text), atol=1e-7)
     a, b = (pu_quality.features(b" ".join(x)) for x in (plain, [w + b"|" if i % 2 else w for i, w in enumerate(plain)]))
     assert a[13] == 0 and b[13] == 0.5
+
+
+# Personal data ------------------------------------------------------------------------------------------------------
+COMMON = "common words of a plain text that many others hold as well and that tell nothing of anyone here "
+
+
+def marked(spark, texts: list[str]) -> list[list[str]]:
+    """Of each text what its term spans cover."""
+    found = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [[texts[r["doc_id"]][s["start"] : s["end"]] for s in r["pii_spans"] if s["order"] == len(pii.KINDS)] for r in sorted(found, key=lambda r: r["doc_id"])]
+
+
+def test_repeated_contact_line(spark):
+    """Each of the equal lines of one document loses its revealing term."""
+    line = COMMON + "Zanzibarite boss@corp.example " + COMMON
+    texts = [line * 4] + [f"{COMMON} Zanzibarite {i} boss@corp.example {COMMON}" for i in range(4)] + [f"{COMMON} {i}" for i in range(200)]
+    found = marked(spark, texts)
+    assert [x.count("Zanzibarite") for x in found] == [4] + [1] * 4 + [0] * 200
