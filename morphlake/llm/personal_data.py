@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and terms that reveal what the patterns protect.
 
 The patterns' values (an address, a number) are the protected entities. A term t, a word near an entity e, reveals part
-of e: PMI(e; t) = log(N n(e,t) / (n(e) n(t))) out of the information IC(e) = log(N / n(e)), with n(t) the documents that
-hold t, n(e) and n(e,t) the different windows of text around e, and around e with t, and N the number of documents. Copies
+of e: PMI(e; t) = log(N n(e,t) / (n(e) n(t))) out of the information IC(e) = log(N / n(e)), with n(t) the different texts
+that hold t, n(e) and n(e,t) the different windows of text around e, and around e with t, and N the number of different
+texts. Copies
 of a window count once, so a copied page alone does not make its words revealing. Where t is met in ``support`` windows
 or more and PMI reaches ``generalise`` of IC, the term gets a general mark; from ``remove`` of IC on it is taken out.
 
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphlake.llm import spans
-from morphlake.llm.common import clean_text, store, table
+from morphlake.llm.common import clean_text, small, store, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive repeats and the run-start conditions change no match; they keep long runs linear.
@@ -82,9 +83,12 @@ def revealing_terms(docs: DataFrame, windows: DataFrame, support: int = SUPPORT,
     pairs = distinct.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair")).filter(F.col("n_pair") >= support)
     entities = windows.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     found = F.transform(F.regexp_extract_all(clean_text(), F.lit(TERM), F.lit(0)), lambda t: F.xxhash64(F.lower(t)))
-    texts = docs.select(F.explode(F.array_distinct(found)).alias("code"))
-    frequency = texts.groupBy("code").agg(F.count(F.lit(1)).alias("n_term"))
-    total = docs.count()
+    keys = docs.select(F.xxhash64(clean_text()).alias("copied")).groupBy("copied").agg(F.count(F.lit(1)).alias("times"))
+    total = keys.count()
+    copies = small(store(keys.filter("times > 1"), "copies").df, 16)
+    texts = docs.select(F.xxhash64(clean_text()).alias("key"), F.array_distinct(found).alias("codes"))
+    texts = texts.join(copies, F.col("key") == F.col("copied"), "left").select(F.explode("codes").alias("code"), (1 / F.coalesce("times", F.lit(1))).alias("part"))
+    frequency = texts.groupBy("code").agg(F.round(F.sum("part")).cast("long").alias("n_term"))
     joined = pairs.join(entities, "entity").withColumn("code", F.xxhash64("term")).join(frequency, "code", "left")
     n_term = F.greatest(F.coalesce("n_term", F.lit(1)), F.col("n_pair"))
     information = F.log(F.lit(float(max(total, 2))) / F.col("n_entity"))

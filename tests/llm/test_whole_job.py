@@ -48,3 +48,10 @@ def test_repeated_contact_line(spark):
     texts = [line * 4] + [f"{COMMON} Zanzibarite {i} boss@corp.example {COMMON}" for i in range(4)] + [f"{COMMON} {i}" for i in range(200)]
     found = marked(spark, texts)
     assert [x.count("Zanzibarite") for x in found] == [4] + [1] * 4 + [0] * 200
+
+
+def test_copies_do_not_hide_terms(spark):
+    """One of the pages that hold a revealing term is copied a thousand times: the term stays revealing."""
+    texts = [f"{i} pages by Zanzibarite at boss@corp.example" for i in range(10)] + ["0 pages by Zanzibarite at boss@corp.example"] * 1000
+    found = marked(spark, texts + [f"{COMMON} {i}" for i in range(500)])
+    assert [x.count("Zanzibarite") for x in found] == [1] * 1010 + [0] * 500
