@@ -1,14 +1,14 @@
 """Personal data: fixed patterns, and terms that reveal what the patterns protect.
 
-The patterns' values (an address, a number) are the protected entities. A term t, a word near an entity e, reveals part
-of e: PMI(e; t) = log(N n(e,t) / (n(e) n(t))) out of the information IC(e) = log(N / n(e)), with n(t) the different texts
-that hold t, n(e) and n(e,t) the different windows of text around e, and around e with t, and N the number of different
-texts. Copies
-of a window count once, so a copied page alone does not make its words revealing. Where t is met in ``support`` windows
-or more and PMI reaches ``generalise`` of IC, the term gets a general mark; from ``remove`` of IC on it is taken out.
+The patterns' values (an address, a number) are the protected entities. A term t, a word of a document with an entity e,
+reveals part of e: PMI(e; t) = log(N n(e,t) / (n(e) n(t))) out of the information IC(e) = log(N / n(e)), with n(t), n(e),
+n(e,t) and N the different texts that hold t, e, both, and in all. Copies of a text count once, so a copied text alone
+does not make its words revealing. Where t and e are met in ``support`` texts or more and PMI reaches ``generalise`` of
+IC, the term gets a general mark at all its places in the texts with e; from ``remove`` of IC on it is taken out of them.
+An entity of fewer texts than ``support`` says nothing about a term: every word met once would reveal it.
 
-All counts cover all documents. Windows exist only around entities; document frequencies are added up before their one
-exchange; a term and an entity are joined on their counts, never on lists of documents.
+All counts cover all documents and whole texts. Frequencies are added up before their one exchange; terms meet entities
+only within the texts that hold both, after terms that cannot reach the threshold are gone.
 
 Edge cases: null text is empty; a word that is itself inside an entity is no term; rows that repeat doc_id and text get
 the same spans, rows that repeat only doc_id their own; empty tables give empty results; other columns pass through
@@ -29,8 +29,8 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = r"(?<![\p{L}\p{N}_])\p{L}{4,}+(?![\p{L}\p{N}_])"
-WINDOW = 80
+#: A run of two or more letters, marks, digits and low lines, so short names and account numbers are terms too.
+TERM = r"[\p{L}\p{M}\p{N}_]{2,}+"
 SUPPORT = 3
 GENERALISE, REMOVE = 0.6, 0.9
 
@@ -64,53 +64,65 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], value)
 
 
-def _windows(found: DataFrame, window: int) -> DataFrame:
-    """A row an entity's occurrence: doc_id, key, entity, first (where the window starts), context (a hash of the window's text), terms with positions."""
+def _masked(text: Column, base: Column) -> Column:
+    """The text with blanks over its base spans, so that positions stay."""
+    return spans.replaced(text, F.sort_array(base), lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))
 
-    def around(s: Column) -> Column:
-        first = F.greatest(s["start"] - window, F.lit(0))
-        return F.struct(_entity(s).alias("entity"), first.alias("first"), F.substring(F.col("text"), first + 1, s["end"] + window - first).alias("cut"))
 
-    near = found.select("doc_id", "key", F.explode(F.transform("base", around)).alias("w")).select("doc_id", "key", "w.*")
-    near = near.withColumn("found", spans.find(F.col("cut"), TERM)).withColumn("own", base_spans(F.col("cut")))
-    terms = F.transform(F.filter("found", lambda t: ~spans.overlaps(t, F.col("own"))), lambda t: F.struct((t["start"] + F.col("first")).alias("start"), (t["end"] + F.col("first")).alias("end"), F.lower(t["match"]).alias("term")))
-    return near.select("doc_id", "key", "entity", "first", F.xxhash64("cut").alias("context"), terms.alias("terms"))
+def _codes(text: Column) -> Column:
+    """Hashes of the different terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda t: F.xxhash64(F.lower(t))))
 
 
-def revealing_terms(docs: DataFrame, windows: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """entity, term, share (PMI over IC) of the pairs that exceed the threshold."""
-    distinct = windows.select("entity", "context", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term")).distinct()
-    pairs = distinct.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair")).filter(F.col("n_pair") >= support)
-    entities = windows.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    found = F.transform(F.regexp_extract_all(clean_text(), F.lit(TERM), F.lit(0)), lambda t: F.xxhash64(F.lower(t)))
+def _frequencies(docs: DataFrame) -> tuple[DataFrame, int]:
+    """code, n_term (the different texts that hold the term) and the number of different texts. A copy counts a part of one."""
+    texts = docs.select(clean_text().alias("text")).select(F.xxhash64("text").alias("key"), _codes(F.col("text")).alias("codes"))
     keys = docs.select(F.xxhash64(clean_text()).alias("copied")).groupBy("copied").agg(F.count(F.lit(1)).alias("times"))
-    total = keys.count()
     copies = small(store(keys.filter("times > 1"), "copies").df, 16)
-    texts = docs.select(F.xxhash64(clean_text()).alias("key"), F.array_distinct(found).alias("codes"))
-    texts = texts.join(copies, F.col("key") == F.col("copied"), "left").select(F.explode("codes").alias("code"), (1 / F.coalesce("times", F.lit(1))).alias("part"))
-    frequency = texts.groupBy("code").agg(F.round(F.sum("part")).cast("long").alias("n_term"))
-    joined = pairs.join(entities, "entity").withColumn("code", F.xxhash64("term")).join(frequency, "code", "left")
-    n_term = F.greatest(F.coalesce("n_term", F.lit(1)), F.col("n_pair"))
+    parts = texts.join(copies, F.col("key") == F.col("copied"), "left").select(F.explode("codes").alias("code"), (1 / F.coalesce("times", F.lit(1))).alias("part"))
+    return parts.groupBy("code").agg(F.round(F.sum("part")).cast("long").alias("n_term")), keys.count()
+
+
+def revealing_terms(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+    """key (of a text with entities), code (a term in it), share: the largest PMI over IC with one of the text's entities.
+
+    Terms and entities too rare for ``support``, and terms so frequent that no entity can reach the threshold with them, are
+    left out before pairs are made; neither changes the result: share >= g needs n(t) <= n(e) (N / n(e))^(1 - g).
+    """
+    frequency, total = _frequencies(docs)
+    held = rows.filter(F.size("base") > 0).select("key", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")).distinct()
+    entities = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter((F.col("n_entity") >= support) & (F.col("n_entity") < total))
+    entities = store(entities, "entities").df
+    most = entities.agg(F.max("n_entity")).first()[0] or 1
+    bound = lambda n: n * F.pow(F.lit(float(total)) / n, F.lit(1 - generalise)) * (1 + 1e-9)
+    known = frequency.filter((F.col("n_term") >= support) & (F.col("n_term") <= bound(F.lit(float(most)))))
+    codes = rows.filter(F.size("base") > 0).select("key", F.explode(_codes(_masked(F.col("text"), F.col("base")))).alias("code")).distinct()
+    pairs = held.join(entities, "entity").join(codes.join(known, "code"), "key").filter(F.col("n_term") <= bound(F.col("n_entity")))
+    pairs = store(pairs.select("key", "entity", "code", "n_entity", "n_term"), "pairs").df
+    counted = pairs.groupBy("entity", "code").agg(F.count(F.lit(1)).alias("n_pair"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
     information = F.log(F.lit(float(max(total, 2))) / F.col("n_entity"))
-    share = (information + F.log(F.col("n_pair") / n_term)) / information
-    return joined.filter(F.col("n_entity") < total).select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise)
+    share = (information + F.log(F.col("n_pair") / F.greatest("n_term", "n_pair"))) / information
+    flagged = counted.filter(F.col("n_pair") >= support).select("entity", "code", share.alias("share")).filter(F.col("share") >= generalise)
+    flagged = store(flagged, "flagged").df
+    return pairs.join(small(flagged, 80), ["entity", "code"]).groupBy("key", "code").agg(F.max("share").alias("share"))
 
 
-def find_personal_data(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def find_personal_data(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """doc_id, key (a hash of the text), pii_spans: base spans by kind as listed, then terms, kind ``term`` or ``removed``."""
     texts = docs.select("doc_id", clean_text().alias("text"))
     rows = texts.select("doc_id", F.xxhash64("text").alias("key"), base_spans(F.col("text")).alias("base"), "text")
     rows = store(rows.select("doc_id", "key", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "patterns").df
-    windows = store(_windows(rows.filter(F.size("base") > 0), window).dropDuplicates(["doc_id", "key", "entity", "first", "context"]), "windows").df
-    flagged = revealing_terms(docs, windows, support, generalise)
-    marks = windows.select("doc_id", "key", "entity", F.explode("terms").alias("t")).select("doc_id", "key", "entity", "t.*").join(flagged, ["entity", "term"])
-    kind = F.when(F.col("share") >= remove, "removed").otherwise("term")
-    span = F.struct("start", F.lit(len(KINDS)).alias("order"), "end", kind.alias("kind"), F.col("term").alias("match"))
-    marks = marks.groupBy("doc_id", "key", "start", "end", "term").agg(F.max("share").alias("share"))
-    marks = marks.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.sort_array(F.collect_list(span)).alias("terms"))
-    found = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
+    shares = revealing_terms(docs, rows, support, generalise)
+    marks = shares.groupBy(F.col("key").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("code", "share"))).alias("shares"))
+    found = rows.join(marks, F.col("key") == F.col("k"), "left")
+
+    def terms(shares: Column) -> Column:
+        every = F.transform(spans.find(_masked(F.col("text"), F.col("base")), TERM), lambda t: F.struct(t.alias("t"), F.element_at(shares, F.xxhash64(F.lower(t["match"]))).alias("share")))
+        kind = lambda x: F.when(x["share"] >= remove, "removed").otherwise("term")
+        return F.transform(F.filter(every, lambda x: x["share"].isNotNull()), lambda x: F.struct(x["t"]["start"].alias("start"), F.lit(len(KINDS)).alias("order"), x["t"]["end"].alias("end"), kind(x).alias("kind"), F.lower(x["t"]["match"]).alias("match")))
+
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string,match:string>>")
-    outside = F.filter(F.coalesce("terms", none), lambda t: ~spans.overlaps(t, F.col("base")))
+    outside = F.when(F.col("shares").isNull(), none).otherwise(F.filter(terms(F.col("shares")), lambda t: ~spans.overlaps(t, F.col("base"))))
     return found.select("doc_id", "key", F.concat("base", outside).alias("pii_spans"))
 
 

@@ -55,3 +55,10 @@ def test_copies_do_not_hide_terms(spark):
     texts = [f"{i} pages by Zanzibarite at boss@corp.example" for i in range(10)] + ["0 pages by Zanzibarite at boss@corp.example"] * 1000
     found = marked(spark, texts + [f"{COMMON} {i}" for i in range(500)])
     assert [x.count("Zanzibarite") for x in found] == [1] * 1010 + [0] * 500
+
+
+def test_terms_of_whole_documents(spark):
+    """A short name far from the address and an account number are marked wherever they stand in the documents with it."""
+    texts = [f"Zo {i} {COMMON * 3} boss@corp.example {COMMON * 2} account 7781x0 {COMMON} zo" for i in range(100, 104)]
+    found = marked(spark, texts + [f"{COMMON} account boss corp {i}" for i in range(500, 900)])
+    assert found[:4] == [["Zo", "7781x0", "zo"]] * 4 and not any(found[4:])
