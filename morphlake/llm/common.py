@@ -38,10 +38,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """Names for helper columns that none of the columns has, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it; a local one of our own only where unset."""
+    """The folder all executors share, as spark.checkpoint.dir names it; where it is unset, a local master gets a folder
+    of its own and any other raises, for a local folder is not shared there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="morphlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -59,16 +73,28 @@ class Stored:
         return self.spark.read.parquet(self.path)
 
     def drop(self) -> None:
+        if self in _LIVE:
+            _LIVE.remove(self)
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def store(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Stored:
+_LIVE: list[Stored] = []
+
+
+def store(df: DataFrame, label: str) -> Stored:
     """Cuts lineage: writes the rows to the shared folder, so a lost executor costs no more than the reading of files."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return Stored(df.sparkSession, path)
+    df.write.option("compression", "zstd").parquet(path)
+    _LIVE.append(Stored(df.sparkSession, path))
+    return _LIVE[-1]
+
+
+def clean_up() -> None:
+    """Removes every table that operators have stored and not dropped. For callers whose results are written by now."""
+    while _LIVE:
+        _LIVE[-1].drop()
 
 
 def trim() -> None:
