@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
+import importlib
+import math
+import random
 import re
 
 import pytest
@@ -89,16 +93,74 @@ def test_markov_models_tell_random_from_ordinary(spark, docs):
     assert secrets.redact(secrets.find_secrets(data, model)).filter("doc_id = 0").first()["text"] == "see <SECRET> there"
 
 
+def ratio(model: list[float], run: str) -> float:
+    codes = [0, *[secrets.ALPHABET.find(c) + 1 for c in run]]
+    return sum(model[a * secrets.SIZE + b] for a, b in zip(codes, codes[1:]))  # noqa: B905
+
+
+def test_markov_models_held_out(spark, sf):
+    """Random strings without a keyword, and names of the standard library, neither of them among the samples."""
+    chance, size = random.Random(11), secrets.ALPHABET
+    alphabets = ("0123456789abcdef", "0123456789ABCDEF", size[:62], size[:64], "abcdefghijklmnopqrstuvwxyz0123456789")
+    planted = [("".join(chance.choices(letters, k=chance.randint(20, 31))), True) for letters in alphabets for _ in range(100)]
+    modules = "asyncio unittest http.server ssl socket logging.handlers email.message urllib.request multiprocessing inspect tarfile zipfile sqlite3 decimal locale".split()
+    names = {n.strip("_") for m in modules for n in dir(importlib.import_module(m)) if len(n.strip("_")) >= 20}
+    assert len(names) > 150
+    rows = [*planted, *[(n, False) for n in sorted(names)]]
+    data = spark.createDataFrame([(i, f"see {t} there") for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    model = secrets.fit(secrets.labelled_samples(spark.read.parquet(f"{sf}/documents.parquet")))
+    found = {r["doc_id"]: any(s["kind"] == "markov" for s in r["secret_spans"]) for r in secrets.find_secrets(data, model).collect()}
+    caught = sum(found[i] for i, (_, secret) in enumerate(rows) if secret) / len(planted)
+    wrong = sum(found[i] for i, (_, secret) in enumerate(rows) if not secret) / len(names)
+    assert caught >= 0.9 and wrong <= 0.02, (caught, wrong)
+    for i, (t, _) in enumerate(rows):
+        assert found[i] == (ratio(model, t) >= secrets.LEAST and any(c.isalpha() for c in t))
+
+
+def test_markov_fit(spark):
+    """The table against counters: samples weigh alike, and the corpus's at most as much as the generated ones."""
+    samples = [("ab" * 40, False, True), ("cab", False, True), ("bac", False, True), ("ba-1", False, False), ("9", True, False), ("a9b", True, True), ("", True, True), ("abba", False, False)]
+    table = secrets.fit(spark.createDataFrame(samples, "token string, secret boolean, corpus boolean"))
+    counts = {}
+    for token, secret, corpus in samples:
+        codes = [0, *[secrets.ALPHABET.find(c) + 1 for c in token]]
+        for pair in zip(codes, codes[1:]):  # noqa: B905
+            counts[secret, corpus, pair] = counts.get((secret, corpus, pair), 0) + 20 * (secrets.WEIGHT // len(token)) / secrets.WEIGHT
+    total = lambda secret, corpus: sum(v for (s, c, _), v in counts.items() if (s, c) == (secret, corpus))
+    share = {s: min(1.0, total(s, False) / total(s, True)) for s in (True, False)}
+    assert share[False] < 1 and share[True] == 1
+    for a in range(secrets.SIZE):
+        p = [[counts.get((s, False, (a, b)), 0) + share[s] * counts.get((s, True, (a, b)), 0) + 0.5 for b in range(secrets.SIZE)] for s in (True, False)]
+        own = [math.log(r / sum(p[0])) - math.log(o / sum(p[1])) for r, o in zip(*p, strict=True)]
+        assert table[a * secrets.SIZE : (a + 1) * secrets.SIZE] == pytest.approx(own)
+
+
+def test_ordinary_samples_lack_hits(spark):
+    """Runs that a pattern covers are no ordinary samples, and letter-only hexadecimal runs neither."""
+    text = "token = abcdefghijklmnop and deadbeefdeadbeefdeadbeefdeadbeefdeadbeef but ordinaryidentifier"
+    found = secrets.labelled_samples(spark.createDataFrame([(1, text)], "doc_id long, text string")).filter("corpus").collect()
+    assert {(r["token"], r["secret"]) for r in found} == {("abcdefghijklmnop", True), ("deadbeef" * 5, True), ("ordinaryidentifier", False)}
+
+
+def test_clashing_names(spark):
+    data = spark.createDataFrame([(1, "token=abcdefgh1 or a@b.cc", 5, 6, 7)], "doc_id long, text string, BASE int, runs int, base_ int")
+    assert secrets.find_secrets(data).select(*data.columns).first() == data.first()
+    assert pii.sanitise(data).columns == data.columns and pii.sanitise(data).first()["text"] == "token=abcdefgh1 or <EMAIL>"
+
+
 def test_empty_samples_and_tables(spark, none):
-    model = secrets.fit(spark.createDataFrame([], "token string, secret boolean"))
+    model = secrets.fit(spark.createDataFrame([], "token string, secret boolean, corpus boolean"))
     assert len(model) == secrets.SIZE**2 and set(model) == {0.0}
     assert secrets.find_secrets(none).count() == 0 and pii.find_personal_data(none).count() == 0 and pii.sanitise(none).count() == 0
 
 
 def test_revealing_terms(spark):
-    """A word met around one address in different windows, and nearly nowhere else, is marked; common words are not."""
+    """A word met around one address in different texts, and nowhere else, is marked; words that others hold too are not.
+
+    The background rows hold every other word of the six rows: a word that only they held would be revealing as well.
+    """
     rows = [(i, f"number {i} then Zanzibarite wrote common words from boss@corp.example about item {i * 37}") for i in range(6)]
-    rows += [(100 + i, f"common words wrote then about number item {i} again") for i in range(200)]
+    rows += [(100 + i, f"common words wrote from then about number item {i} again") for i in range(200)]
     data = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, base int")
     found = {r["doc_id"]: [(s["kind"], s["match"]) for s in r["pii_spans"]] for r in pii.find_personal_data(data).collect()}
     assert all(x == [("email", "boss@corp.example"), ("removed", "zanzibarite")] for i, x in found.items() if i < 100)
@@ -107,3 +169,62 @@ def test_revealing_terms(spark):
     assert clean[0] == "number 0 then  wrote common words from <EMAIL> about item 0" and clean[100] == rows[6][1]
     copies = spark.createDataFrame([(i, rows[0][1]) for i in range(50)] + rows[6:], "doc_id long, text string")
     assert all(len(r["pii_spans"]) == 1 for r in pii.find_personal_data(copies).filter("doc_id < 50").collect())
+
+
+def entities_of(kind: str, match: str) -> set[str]:
+    digits = re.sub("[^0-9]", "", match)
+    part = {"email": match.lower().split("@")[-1], "ip": ".".join(match.split(".")[:2]), "card": digits[:6], "phone": digits[:4]}[kind]
+    return {f"{kind}:{digits if kind in ('card', 'phone') else match.lower()}", f"class:{kind}:{part}"}
+
+
+def revealed(texts: list[str]) -> list[set]:
+    """Brute force: the marked (start, end, kind) of each text, from counters over different texts."""
+    held, terms = {}, {}
+    for t in set(texts):
+        base = [(k, m) for kind in PERSONAL for k, m in ((kind[0], m) for m in re.finditer(kind[1], t) if kind[2](m))]
+        held[t] = set().union(*[entities_of(k, m.group()) for k, m in base])
+        masked = list(t)
+        for _, m in base:
+            masked[m.start() : m.end()] = " " * (m.end() - m.start())
+        every = lambda x: [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"\w{2,}", x)]
+        terms[t] = (every("".join(masked)), {w for *_, w in every(t)})
+    n, n_term = len(held), collections.Counter(w for _, words in terms.values() for w in words)
+    n_entity = collections.Counter(e for x in held.values() for e in x)
+    n_pair = collections.Counter((e, w) for t, x in held.items() for e in x for w in {w for *_, w in terms[t][0]})
+    least = math.log(pii.ALPHA / sum(v >= 2 for v in n_term.values()))
+    share = {}
+    for (e, w), k in n_pair.items():
+        if k >= 2 and n_entity[e] < n:
+            x, q = k / n_entity[e], n_term[w] / n
+            chance = -(k * math.log(x / q) + (0 if x == 1 else (n_entity[e] - k) * math.log((1 - x) / (1 - q)))) if x > q else 0
+            value = math.log(n * k / (n_entity[e] * n_term[w])) / math.log(n / n_entity[e])
+            if value >= pii.GENERALISE and chance <= least:
+                share[e, w] = value
+    out = []
+    for t in texts:
+        best = {w: max((share[e, w] for e in held[t] if (e, w) in share), default=None) for *_, w in terms[t][0]}
+        out.append({(a, b, "removed" if best[w] >= pii.REMOVE else "term") for a, b, w in terms[t][0] if best[w] is not None})
+    return out
+
+
+def test_pointwise_information(spark):
+    """Marks against counters: names near one address, a firm near its domain, a place near its area code, and chance."""
+    chance = random.Random(8)
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    names = [("Ada", "ada@firm.example", "Firmware"), ("Bob", "bob@firm.example", "Firmware"), ("Eve", "eve@shop.example", "Shopping")]
+    texts = []
+    for i in range(600):
+        text = chance.choices(words, k=25)
+        if i % 5 == 0:
+            name, mail, firm = names[i // 5 % 3]
+            text[3:3] = [name, mail] + [firm] * (i % 10 == 0)
+        if i % 7 == 0:
+            text[9:9] = ["Placeham" if i % 14 else "Cityton", f"+{'1212' if i % 14 else '4455'}{i:07}"]
+        texts.append(" ".join(text) + "." * (i % 3))
+    texts += texts[:50] + [""]
+    found = {r["doc_id"]: r["pii_spans"] for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    own = revealed(texts)
+    marked = {texts[i][a:b].lower() for i, x in enumerate(own) for a, b, _ in x}
+    assert {"firmware", "ada", "bob", "eve", "placeham", "cityton"} <= marked and len(marked) < 15
+    for i, x in enumerate(own):
+        assert {(s["start"], s["end"], s["kind"]) for s in found[i] if s["order"] == len(pii.KINDS)} == x, texts[i]
