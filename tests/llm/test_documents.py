@@ -347,8 +347,10 @@ def test_quality_classifier_awkward(spark, folder, docs, none):
     found = pu_quality.op2_pu_quality(spark, folder).collect()
     assert len(found) == len(awkward()) and all(0 <= r["score"] <= 1 for r in found)
     no_labels = spark.createDataFrame([], "doc_id long, quality int")
-    model = pu_quality.fit(*pu_quality.training_rows(docs, no_labels))
-    assert {r["score"] for r in pu_quality.score(docs, model).collect()} == {0.5} and pu_quality.score(none, model).count() == 0
+    vectors = pu_quality.vectors(docs).cache()
+    model = pu_quality.learn(vectors, no_labels)
+    assert {r["score"] for r in pu_quality.score(vectors, model).collect()} == {0.5} and pu_quality.score(pu_quality.vectors(none), model).count() == 0
+    assert pu_quality.learn(pu_quality.vectors(none), spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")).prior == 0.5
 
 
 # Mixing -------------------------------------------------------------------------------------------------------------
