@@ -2,15 +2,16 @@
 
 A snapshot is a set of written tables: one row a distinct text (64-bit digest, SHA-256, best row, number of rows), dealt
 into buckets by digest, and a static binary-fuse filter a bucket. A batch is grouped on its own first; only then are its
-distinct digests screened by the filters, a bucket at a time. What the filters reject is new; the rest joins the exact
-buckets. Whatever then has two rows or more goes to a check of bytes: every row's normalised text against that of the
+distinct digests screened by the filters, a bucket at a time; where the batch outgrows the snapshot, a bucket's digests
+are dealt over salts, each with a copy of the filter. What the filters reject is new; the rest joins the exact buckets. Whatever then has two rows or more goes to a check of bytes: every row's normalised text against that of the
 row that stays. Rows that fail it (a collision of digests) are regrouped by the text itself.
 
 Texts are equal when identical after deleting every ASCII white-space character. Of equal texts the row with the most
 code points in its original text stays, then the smallest doc_id.
 
 Only narrow digest rows are shuffled for grouping and screening; texts move for rows of groups alone, and a group's rows
-are dealt over as many salts as its size asks for, each with one copy of the text that stays.
+are dealt over as many salts as its size asks for, each with one copy of the text that stays. Rows of classes beyond
+``HOT`` such salts meet their class under salts too. Tables that the result does not read are removed on the way.
 
 Edge cases: null counts as empty, and empty texts equal each other; a null doc_id sorts last among equals; rows that
 repeat a doc_id are rows of their own, and of rows that repeat the one that stays only one is kept; empty tables give
@@ -29,11 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from morphlake.llm import fuse_filter
-from morphlake.llm.common import SPACE, Stored, clean_text, small, store, table
+from morphlake.llm.common import SPACE, Stored, clean_text, free, small, store, table
 
 #: Distinct digests a bucket aims at, and rows of one group that share a copy of its text.
 BUCKET_KEYS = 50_000
 SALT_ROWS = 2_048
+#: Digests of a batch that one task screens on average at most, and salts' worth of rows that make a class hot.
+BATCH_ROWS = 200_000
+HOT = 32
 
 
 def normalised(text: Column) -> Column:
@@ -104,23 +108,33 @@ def build_snapshot(rows: DataFrame, bucket_keys: int = BUCKET_KEYS) -> Snapshot:
     return Snapshot(distinct, store(keys.groupBy("bucket").applyInArrow(made, "bucket int, made binary"), "filters"), buckets)
 
 
-def screen(classes: DataFrame, snapshot: Snapshot) -> DataFrame:
+def _salts(classes: DataFrame, snapshot: Snapshot, batch_rows: int) -> int:
+    """As many as keep the batch's rows of a bucket and salt near ``batch_rows``."""
+    return max(1, -(-classes.count() // (snapshot.buckets * batch_rows)))
+
+
+def _dealt(classes: DataFrame, snapshot: Snapshot, salts: int) -> DataFrame:
+    return classes.withColumn("bucket", _bucket(snapshot.buckets)).withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(salts)).cast("int"))
+
+
+def screen(classes: DataFrame, snapshot: Snapshot, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """The batch's texts with ``maybe``: false where the filter of their bucket proves that the snapshot lacks them."""
 
     def probed(left: pa.Table, right: pa.Table) -> pa.Table:
         found = np.zeros(left.num_rows, bool)
         if left.num_rows and right.num_rows:
             found = fuse_filter.probe(right.column("made")[0].as_py(), left.column("digest").to_numpy())
-        return left.drop_columns(["bucket"]).append_column("maybe", pa.array(found, pa.bool_()))
+        return left.drop_columns(["bucket", "salt"]).append_column("maybe", pa.array(found, pa.bool_()))
 
-    keys = classes.withColumn("bucket", _bucket(snapshot.buckets))
+    salts = _salts(classes, snapshot, batch_rows)
+    dealt = _dealt(classes, snapshot, salts)
+    filters = snapshot.filters.df.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "made")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema) + ", maybe boolean"
-    return keys.groupBy("bucket").cogroup(snapshot.filters.df.groupBy("bucket")).applyInArrow(probed, schema)
+    return dealt.groupBy("bucket", "salt").cogroup(filters.groupBy("bucket", "salt")).applyInArrow(probed, schema)
 
 
-def merge(batch: DataFrame, snapshot: Snapshot) -> DataFrame:
-    """Texts of the batch and of the snapshot, each once. Only texts that the filters let pass meet the exact buckets."""
-    screened = store(screen(batch, snapshot), "screened").df
+def merge(screened: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """Texts of the screened batch and of the snapshot, each once. Only texts that the filters let pass meet the exact buckets."""
     new, maybe = screened.filter("not maybe").drop("maybe"), screened.filter("maybe").drop("maybe")
     old = snapshot.classes.df.select("digest", "sha", F.col("best").alias("old_best"), F.col("size").alias("old_size"))
     met = maybe.join(old, ["digest", "sha"], "full_outer")
@@ -128,15 +142,26 @@ def merge(batch: DataFrame, snapshot: Snapshot) -> DataFrame:
     return new.unionByName(met.select("digest", "sha", F.greatest("best", "old_best").alias("best"), size.alias("size")))
 
 
+def _tagged(rows: DataFrame, classes: DataFrame, hot_rows: int) -> DataFrame:
+    """Every row with its class's size and keep_id. Rows of hot classes, of which there are few, meet it under salts."""
+    named = classes.select("digest", "sha", "size", _id_of().alias("keep_id"), F.ceil(F.col("size") / hot_rows).cast("int").alias("salts"))
+    hot = store(named.filter("salts > 1").select(F.col("digest").alias("d"), F.col("sha").alias("s"), "salts"), "hot").df
+    if not hot.limit(1).count():
+        return rows.join(named.drop("salts"), ["digest", "sha"])
+    marked = rows.join(small(hot, 80), (F.col("digest") == F.col("d")) & (F.col("sha") == F.col("s")), "left")
+    dealt = marked.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "n"), F.col("salts")), F.lit(0)).cast("int")).drop("d", "s", "salts")
+    return dealt.join(named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"), ["digest", "sha", "salt"]).drop("salt")
+
+
 def _id_of(best: str = "best") -> Column:
     return F.bitwise_not(F.col(f"{best}.id"))
 
 
 def _checked(docs: DataFrame, tagged: DataFrame, names: Digests, salt_rows: int) -> DataFrame:
-    """Rows of groups after the check of bytes: doc_id, n, digest, sha, keep_id, size, and the text where it differs."""
-    members = tagged.filter("size > 1").select(F.col("doc_id").alias("id"), "digest", "sha", "size", "keep_id").distinct()
-    members = small(store(members, "members").df, 160)
-    texts = docs.select("doc_id", clean_text().alias("text")).join(members, F.col("doc_id").eqNullSafe(F.col("id")))
+    """A stored table of the rows of groups after the check of bytes: doc_id, n, digest, sha, keep_id, size, and the text
+    where it differs."""
+    members = store(tagged.filter("size > 1").select(F.col("doc_id").alias("id"), "digest", "sha", "size", "keep_id").distinct(), "members")
+    texts = docs.select("doc_id", clean_text().alias("text")).join(small(members.df, 160), F.col("doc_id").eqNullSafe(F.col("id")))
     texts = texts.select("doc_id", F.length("text").cast("long").alias("n"), normalised(F.col("text")).alias("norm"), "digest", "sha", "size", "keep_id")
     texts = store(texts.filter((names.key(F.col("norm")) == F.col("digest")) & (names.wide(F.col("norm")) == F.col("sha"))), "grouped")
     salts = F.ceil(F.col("size") / F.lit(salt_rows)).cast("int")
@@ -144,7 +169,10 @@ def _checked(docs: DataFrame, tagged: DataFrame, names: Digests, salt_rows: int)
     stays = stays.select("digest", "sha", "kept_norm", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     dealt = texts.df.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n"), salts).cast("int"))
     other = F.when(F.col("norm") != F.col("kept_norm"), F.col("norm"))
-    return dealt.join(stays, ["digest", "sha", "salt"]).select("doc_id", "n", "digest", "sha", "keep_id", "size", other.alias("other"))
+    out = store(dealt.join(stays, ["digest", "sha", "salt"]).select("doc_id", "n", "digest", "sha", "keep_id", "size", other.alias("other")), "checked").df
+    members.drop()
+    texts.drop()
+    return out
 
 
 def _regrouped(checked: DataFrame) -> DataFrame:
@@ -155,19 +183,22 @@ def _regrouped(checked: DataFrame) -> DataFrame:
     return checked.drop("size", "keep_id").join(own, same).drop("d", "s", "o")
 
 
-def groups(docs: DataFrame, incoming: Column | None = None, names: Digests | None = None, salt_rows: int = SALT_ROWS) -> DataFrame:
+def groups(docs: DataFrame, incoming: Column | None = None, names: Digests | None = None, salt_rows: int = SALT_ROWS, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """doc_id, digest, keep_id, group_size, kept, sha for every row.
 
     ``incoming`` marks the rows of the new batch; the others form the snapshot. Default: half of the ids, by hash.
     """
     names = names or Digests()
     new = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1 if incoming is None else incoming
-    rows = store(names.rows(docs).withColumn("incoming", F.coalesce(new, F.lit(True))), "digests").df
-    snapshot = build_snapshot(rows.filter("not incoming"))
-    batch = store(_classes(rows.filter("incoming")), "batch").df
-    classes = store(merge(batch, snapshot), "classes").df
-    tagged = store(rows.join(classes.select("digest", "sha", "size", _id_of().alias("keep_id")), ["digest", "sha"]), "tagged").df
-    checked = store(_checked(docs, tagged, names, salt_rows), "checked").df
+    rows = store(names.rows(docs).withColumn("incoming", F.coalesce(new, F.lit(True))), "digests")
+    snapshot = build_snapshot(rows.df.filter("not incoming"))
+    batch = store(_classes(rows.df.filter("incoming")), "batch")
+    screened = store(screen(batch.df, snapshot, batch_rows), "screened")
+    classes = store(merge(screened.df, snapshot), "classes")
+    tagged = store(_tagged(rows.df, classes.df, HOT * salt_rows), "tagged").df
+    for done in (rows, snapshot, batch, screened, classes):
+        done.drop()
+    checked = _checked(docs, tagged, names, salt_rows)
     if checked.filter("other is not null").limit(1).count():
         checked = _regrouped(checked)
     lone = tagged.filter("size = 1").select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
@@ -179,15 +210,17 @@ def groups(docs: DataFrame, incoming: Column | None = None, names: Digests | Non
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows that stay, with all their columns."""
-    found = store(groups(docs, **options).select("doc_id", "digest", "kept"), "kept").df
+    found = store(groups(docs, **options).select("doc_id", "digest", "kept"), "kept")
     names = options.get("names") or Digests()
-    keys = found.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("times"))
-    odd = store(keys.filter("not kept or times > 1").select(F.col("doc_id").alias("__odd_id"), F.col("digest").alias("__odd_digest"), "kept"), "odd").df
-    same = F.col("doc_id").eqNullSafe(F.col("__odd_id")) & (names.key(normalised(clean_text())) == F.col("__odd_digest"))
-    rest = docs.join(small(odd.drop("kept"), 80), same, "left_anti")
-    if not odd.filter("kept").limit(1).count():
+    odd_id, odd_digest, flag = free(docs.columns, "odd_id", "odd_digest", "stays")
+    keys = found.df.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("times"))
+    odd = store(keys.filter("not kept or times > 1").select(F.col("doc_id").alias(odd_id), F.col("digest").alias(odd_digest), F.col("kept").alias(flag)), "odd").df
+    found.drop()
+    same = F.col("doc_id").eqNullSafe(F.col(odd_id)) & (names.key(normalised(clean_text())) == F.col(odd_digest))
+    rest = docs.join(small(odd.drop(flag), 80), same, "left_anti")
+    if not odd.filter(flag).limit(1).count():
         return rest
-    return rest.unionByName(docs.join(odd.filter("kept").drop("kept"), same, "left_semi").dropDuplicates(["doc_id"]))
+    return rest.unionByName(docs.join(odd.filter(flag).drop(flag), same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,8 +38,8 @@ from morphlake.llm.tokens import END_ID, encode_texts, encoder, vocabulary_path
 WINDOW = 4096
 GRAIN = 16
 SLACK = 1 / 170
-#: Rows of one length and salt that one task ranks, on average at most.
-SALT_ROWS = 100_000
+#: Rows of one length and salt that one task ranks on average, or the root of the commonest length's documents if more.
+SALT_ROWS = 1_000
 
 
 def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 3_000) -> np.ndarray:
@@ -315,7 +315,8 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, end_id:
     for r in left.collect():  # one row a length, window rows at most
         counts[r["left"]], whole[r["left"]] = r["c"], r["s"]
     plan = make_plan(counts, whole, window)
-    ranked = _ranked(sizes, window, max(1, -(-int(counts.max()) // SALT_ROWS)))
+    most = int(counts.max())
+    ranked = _ranked(sizes, window, max(1, -(-most // max(SALT_ROWS, math.isqrt(most)))))
     placed = ranked.mapInArrow(_placed(plan), "row long, whole long, sequence long, offset long")
     joined = tokens.join(placed, "row")
     return joined.mapInArrow(_pieces(window), f"doc_id {id_type}, row long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from morphlake.llm import chat_format, exact_dedup, fuse_filter, mixing, packing, pu_quality, quality_rules, simhash, token_files, tokens
+from morphlake.llm.common import store
 from morphlake.llm.components import roots
 from tests.conftest import compare
 from tests.llm.conftest import SCHEMA, awkward, row
@@ -68,6 +71,31 @@ def test_exact_groups(docs, names, split):
     assert len({(r["keep_id"], r["group_size"]) for r in found}) <= sum(r["kept"] for r in found)
 
 
+def test_exact_small_snapshot(spark):
+    """A large batch against a snapshot of ten rows, and against none: the batch is dealt over salts, each with the filter."""
+    docs = spark.createDataFrame([(i, f"text {i % 2000}" if i < 3000 else "the same text") for i in range(3200)], "doc_id long, text string")
+    for snapshot in (10, 0):
+        incoming = F.col("doc_id") >= snapshot
+        found = exact_dedup.groups(docs, incoming, salt_rows=2, batch_rows=100).collect()
+        assert sorted(repr((r["doc_id"], r["keep_id"], r["group_size"], bytes(r["sha"]).hex())) for r in found) == expected_groups((r["doc_id"], r["text"]) for r in docs.collect())
+    rows = exact_dedup.Digests().rows(docs)
+    snapshot = exact_dedup.build_snapshot(rows.filter("doc_id < 10"))
+    classes = store(exact_dedup._classes(rows.filter("doc_id >= 10")), "classes").df
+    dealt = exact_dedup._dealt(classes, snapshot, exact_dedup._salts(classes, snapshot, 100)).groupBy("bucket", "salt").count().collect()
+    assert len(dealt) > 10 and max(r["count"] for r in dealt) < 200
+    kept = exact_dedup.screen(classes, snapshot, 100)
+    assert kept.count() == classes.count() and kept.filter("maybe").count() < 40
+
+
+def test_clashing_names(spark, folder):
+    """Operators keep columns whose names they might use inside."""
+    names = ["odd_id", "odd_digest", "stays", "ODD_ID_", "row", "words", "hashes", "pairs", "windows", "no", "own_topic", "kept_", "size", "salt"]
+    docs = spark.createDataFrame([(i, "one two three four five six seven " * 9 + str(i % 3), "s", "en", *range(len(names))) for i in range(9)], "doc_id long, text string, source string, lang string, " + ", ".join(f"{n} int" for n in names))
+    assert exact_dedup.keep_one(docs).columns == simhash.keep_one(docs).columns == mixing.mix(docs).columns == docs.columns
+    model = quality_rules.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert quality_rules.judge(docs, model).select(*docs.columns).first() == docs.first() and quality_rules.keep(docs, model).columns == docs.columns
+
+
 def test_exact_keep_one(docs, none):
     kept = exact_dedup.keep_one(docs)
     assert kept.columns == docs.columns
@@ -157,6 +185,83 @@ def test_near_keep_one(spark, docs, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def shingles(text: str) -> set:
+    found = words(re.sub("[A-Z]", lambda m: m.group().lower(), text))
+    return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
+
+
+def jaccard(a: set, b: set) -> float:
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def family_texts() -> list[str]:
+    """Families of one text with more and more words changed, unrelated texts and odd ones."""
+    chance = random.Random(12)
+    word = lambda: "".join(chance.choices("abcdefgh", k=5))
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(200)]
+        for changed in (0, 0, 1, 2, 3, 4, 6, 9, 30):
+            own = base.copy()
+            for at in chance.sample(range(200), changed):
+                own[at] = word()
+            texts.append(" ".join(own))
+    return texts + [" ".join(word() for _ in range(n)) for n in (1, 4, 5, 6, 300, 70_000)] + ["", None, " \n", "one two", "One  two"]
+
+
+@pytest.mark.parametrize("crowd", [3, 100])
+def test_similar_texts(spark, crowd):
+    """Components against all pairs of fingerprints; against all pairs of shingle sets within the stated error."""
+    texts = family_texts()
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), crowd=crowd).collect()}
+    prints = [simhash.wide_fingerprint((t or "").encode()) for t in texts]
+    nodes = sorted(set(prints))
+    width = simhash.segment_width(len(nodes))
+    bits = {p: int.from_bytes(p, "little") for p in nodes}
+    most = int(simhash.BITS * simhash.differing_share(0.8))
+    parent = {p: p for p in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(nodes, 2):
+        differ = bits[a] ^ bits[b]
+        meet = any((differ >> k * width & (1 << width) - 1).bit_count() <= 1 for k in range(simhash.BITS // width))
+        if meet and differ.bit_count() <= most:
+            parent[find(a)] = find(b)
+    least = {}
+    for i, p in enumerate(prints):
+        least.setdefault(find(p), i)
+    if crowd == 100:
+        assert found == {i: least[find(p)] for i, p in enumerate(prints)}
+    own = [shingles(t or "") for t in texts]
+    for i, j in combinations(range(len(texts)), 2):
+        similarity = jaccard(own[i], own[j])
+        assert similarity < 0.9 or found[i] == found[j], (i, j)
+        assert similarity > 0.4 or found[i] != found[j], (i, j)
+
+
+def test_meeting_in_any_batches():
+    """Entries of a segment meet the same however they are cut into batches."""
+    chance = np.random.default_rng(3)
+    key = np.sort(chance.integers(0, 60, 900))
+    order = chance.integers(-(2**62), 2**62, 900)
+    node = (order.view(np.uint64) ^ simhash._finished(key.view(np.uint64) >> np.uint64(1))).view(np.int64)
+    for crowd in (5, 1000):
+        for step in (1, 7, 64, 900):
+            cut = [pa.RecordBatch.from_arrays([pa.array(key[i : i + step]), pa.array(order[i : i + step])], ["key", "order"]) for i in range(0, 900, step)]
+            got = {(a, b) for out in simhash._meet(crowd)(iter(cut)) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)}
+            want = set()
+            for group in set(key >> 1):
+                own = np.nonzero(key >> 1 == group)[0]
+                first = own if len(own) <= crowd else own[: simhash.LEADERS]
+                want |= {(min(node[i], node[j]), max(node[i], node[j])) for i in first if key[i] % 2 == 0 for j in own if node[i] != node[j]}
+            assert got == want, (crowd, step)
+    assert simhash.found_share(0.8, 200_000) == pytest.approx(0.908, abs=1e-3) and simhash.found_share(0.9, 200_000) > 0.99
+
+
 # Tokens -------------------------------------------------------------------------------------------------------------
 def test_encoder_equals_library():
     chance = random.Random(1)
@@ -366,6 +471,16 @@ def test_rake_meets_targets(docs):
     assert mixing.rake(cells, counts * 0, targets).sum() == 0
 
 
+def hold_marginals(found, dimensions):
+    for d in dimensions:
+        own, fitted = Counter(), Counter()
+        for r in found:
+            own[r[d]] += r["tokens"]
+            fitted[r[d]] += r["tokens"] * r["weight"]
+        goal = {v: n**mixing.TEMPER for v, n in own.items() if n}
+        assert {v: fitted[v] / sum(fitted.values()) for v in goal} == pytest.approx({v: g / sum(goal.values()) for v, g in goal.items()}, abs=1e-4)
+
+
 def test_weigh_and_mix_agree(spark, docs, none):
     found = mixing.weigh(docs).collect()
     texts = sorted((r[0] is None, r[0] or 0, len(words(r[1] or ""))) for r in awkward())
@@ -373,18 +488,73 @@ def test_weigh_and_mix_agree(spark, docs, none):
     kept = mixing.mix(docs)
     assert kept.columns == docs.columns
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in found if r["kept"])
-    for d in ("source", "lang", "topic"):
-        own, fitted = Counter(), Counter()
-        for r in found:
-            own[r[d]] += r["tokens"]
-            fitted[r[d]] += r["tokens"] * r["weight"]
-        goal = {v: n**mixing.TEMPER for v, n in own.items() if n}
-        assert {v: fitted[v] / sum(fitted.values()) for v in goal} == pytest.approx({v: g / sum(goal.values()) for v, g in goal.items()}, abs=1e-4)
+    hold_marginals(found, ["topic"])  # a topic holds one language here or there, so that the others cannot all be met
     assert mixing.weigh(none).count() == 0 and mixing.mix(none).count() == 0
     only = mixing.weigh(docs, mixing.Targets(source={"s": 1.0}))
     assert only.filter("kept and (source is null or source <> 's')").count() == 0
 
 
+def test_topics_of_a_planted_corpus(spark):
+    """Themes inside languages are found: nearly all documents of a topic are of one theme, whatever their language."""
+    chance = random.Random(9)
+    def word(lang, theme):
+        return f"{lang}{theme}{chance.randint(0, 60):03}longword"
+    rows = []
+    for i in range(1600):
+        lang, theme = chance.choice(["en", "fr"]), i % 4
+        own = [word(lang, theme) if chance.random() < 0.5 else word(lang, "common") for _ in range(120)]
+        rows.append((i, " ".join(own), lang, chance.choice("stt")))
+    made = mixing.weigh(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)).collect()
+    hold_marginals(made, ["source", "lang", "topic"])
+    found = {r["doc_id"]: r["topic"] for r in made}
+    by_topic = defaultdict(Counter)
+    for i, (_, _, lang, _) in enumerate(rows):
+        by_topic[found[i]][lang, i % 4] += 1
+    pure = sum(max(sum(n for (_, theme), n in own.items() if theme == t) for t in range(4)) for own in by_topic.values()) / len(rows)
+    assert pure > 0.9 and len(by_topic) >= 4
+
+
+def test_topics_draw_and_cells(spark, docs):
+    """Topics, cells, weights and draws against counters, and the same topic for a text in batches of any size."""
+    counted = mixing.count_words(docs).cache()
+    topics = mixing.fit_topics(counted, rounds=4)
+    rows = [(r["doc_id"], r["text"] or "", r["lang"], r["source"]) for r in docs.collect()]
+    def own(text, lang):
+        found = [zlib.crc32(w.encode()) % mixing.WIDTH for w in text.split() if len(w.encode()) >= 6]
+        if not found:
+            return -1
+        counts = Counter(found)
+        shares = topics.shares[mixing._group(lang)]
+        vector = [math.sqrt(counts[k]) - math.sqrt(len(found) * shares[k]) for k in range(mixing.WIDTH)]
+        near = topics.directions @ np.array(vector)
+        return int(near.argmax()) if np.sort(near)[-1] - np.sort(near)[-2] > 1e-3 * mixing.SCALE else None
+    got = Counter((r["doc_id"], r["lang"], r["topic"]) for r in mixing.assign(counted, topics).collect())
+    assert got == Counter((r["doc_id"], r["lang"], r["topic"]) for r in mixing.assign(counted.repartition(29), topics).collect())
+    by_id = {r["doc_id"]: r["topic"] for r in mixing.assign(counted, topics).collect()}
+    checked = [(i, own(t.replace("\x0b", " "), lang)) for i, t, lang, _ in rows if i not in (None, 1008) and t.isascii()]
+    assert all(t is None or by_id[i] == t for i, t in checked) and sum(t is not None for _, t in checked) > 200
+    found = mixing.weigh(docs).collect()
+    cells = Counter()
+    for r in found:
+        cells[r["source"], r["lang"], r["topic"]] += r["tokens"]
+    keys = sorted(cells, key=lambda c: tuple(map(str, c)))
+    tokens = np.array([cells[c] for c in keys], float)
+    weight, chance = mixing.probabilities(tokens, mixing.rake(keys, tokens, mixing.Targets()), mixing.KEEP)
+    expected = {c: (w, p) for c, w, p in zip(keys, weight, chance, strict=True)}
+    signed = lambda x: x + (1 << 64) if x < 0 else x
+    draw = {r["doc_id"]: (signed(r["h"]) >> 11) / 2**53 for r in docs.select("doc_id", F.xxhash64(F.lit(7), "doc_id").alias("h")).collect()}
+    for r in found:
+        w, p = expected[r["source"], r["lang"], r["topic"]]
+        assert (r["weight"], r["probability"]) == pytest.approx((w, p)) and r["kept"] == (draw[r["doc_id"]] < r["probability"])
+
+
+def test_too_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_CELLS", 3)
+    docs = spark.createDataFrame([(i, "some longer words here", "en", f"s{i}") for i in range(9)], "doc_id long, text string, lang string, source string")
+    with pytest.raises(ValueError, match="coarser"):
+        mixing.weigh(docs)
+
+
 # Chat ---------------------------------------------------------------------------------------------------------------
 def test_chat_sql(spark, sf):
     compare(spark, sf, chat_format.op6_chat_format, chat_format.ORACLES["op6_chat_format"])
@@ -426,7 +596,9 @@ def test_pipeline(spark, sf, folder, none, tmp_path):
             if number == 1:
                 assert len({re.sub(SPACES, "", t or "") for t in seen.values()}) == len(seen)
             if number == 2:
-                assert len(set(components({i: fingerprint(t or "") for i, t in seen.items()}).values())) == len(seen)
+                every = {r["doc_id"]: shingles(r["text"] or "") for r in before.collect()}
+                assert not any(jaccard(every[i], every[j]) >= 0.88 for i, j in combinations(seen, 2))
+                assert all(max(jaccard(x, every[j]) for j in every if j != i) >= 0.72 for i, x in every.items() if i not in seen)
         else:
             assert own == set(seen)
     assert pipeline.run(spark, sf).count() == docs.count()
