@@ -1,18 +1,18 @@
 """Quality rules: counts of words, symbols and repeats, and a hashed n-gram log-likelihood ratio.
 
-Every word and every pair of neighbouring words is hashed into ``BUCKETS`` features. Two multinomials over them, one of
+Every word and every pair of neighbouring words is hashed into features, as many as ``buckets_for`` the trusted documents. Two multinomials over them, one of
 documents under trust (labelled as good) and one of the whole raw corpus, give each feature a log ratio; a document's
 score is the sum over its features divided by their number, and it is kept if it passes the base rules and its score
 reaches ``least``. The threshold is a constant, so a document's verdict depends on no sampling.
 
-Counts cover every word of every document and are added up before their exchange, at most BUCKETS rows a task. The
-fitted table has BUCKETS numbers, whatever the corpus. Scores need no exchange at all. Labels are broadcast while they
+Counts cover every word of every document and are added up before their exchange, at most a row a bucket and task. The
+fitted table has a number a bucket, at most MOST_BUCKETS whatever the corpus. Scores need no exchange at all. Labels are broadcast while they
 are few (their number is checked) and joined by an exchange of texts beyond that.
 
 Edge cases: a null text has no words, all counts zero and fails the base rules; without labels, or if none of them is
 good, every ratio is zero and the base rules decide; several labels of a document count as good if one is; rows that
-repeat a doc_id are judged each by its text; an empty table gives an empty result; other columns pass through ``judge``
-except those it makes.
+repeat a doc_id are judged each by its text; an empty table gives an empty result; other columns pass through ``judge``,
+whatever their names, except those it makes.
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphlake.llm.common import SPACE, clean_text, let, table, words
+from morphlake.llm.common import SPACE, clean_text, free, let, table, words
 
-BUCKETS = 1 << 16
+#: Buckets of a small corpus and of the largest, and trusted documents a bucket between them.
+BUCKETS, MOST_BUCKETS, DOCS_A_BUCKET = 1 << 16, 1 << 20, 4
 LEAST = -0.1
 SMOOTHING = 15.0
 STEP = 1 / 32
@@ -43,17 +44,22 @@ def _pairs(hashes: Column) -> Column:
     return F.zip_with(F.slice(hashes, 1, F.size(after)), after, lambda a, b: F.xxhash64(a, b))
 
 
-def _bucket(hashed: Column, pair: bool) -> Column:
+def buckets_for(trusted: int) -> int:
+    """A power of two that grows with the number of trusted documents, since only what they hold tells features apart."""
+    return min(MOST_BUCKETS, max(BUCKETS, 1 << max(0, trusted // DOCS_A_BUCKET - 1).bit_length()))
+
+
+def _bucket(hashed: Column, pair: bool, buckets: int) -> Column:
     """Words fall into the lower half of the buckets, pairs into the upper half."""
-    half = BUCKETS // 2
+    half = buckets // 2
     return hashed.bitwiseAND(F.lit(half - 1)).cast("int") + (half if pair else 0)
 
 
 def good_ids(labels: DataFrame) -> DataFrame:
-    return labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__good")).distinct()
+    return labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct()
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> list[int]:
+def fit(docs: DataFrame, labels: DataFrame, buckets: int | None = None) -> list[int]:
     """log p(feature | trusted) - log p(feature | raw) for every bucket, in whole steps of ``STEP``.
 
     Both shares are smoothed by the same pseudo-count on the scale of trusted counts, so what a small corpus shows once or
@@ -61,16 +67,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> list[int]:
     in any order and the table small enough to stay in a core's cache.
     """
     good = good_ids(labels)
-    good = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
-    hashed = docs.select("doc_id", clean_text().alias("text")).join(good, F.col("doc_id") == F.col("__good"), "left")
-    hashed = hashed.select(F.col("__good").isNotNull().alias("good"), _hashes(words(F.col("text"))).alias("h"))
+    known = good.count()
+    buckets = buckets or buckets_for(known)
+    good = F.broadcast(good) if known <= BROADCAST_IDS else good
+    hashed = docs.select("doc_id", clean_text().alias("text")).join(good, F.col("doc_id") == F.col("good_id"), "left")
+    hashed = hashed.select(F.col("good_id").isNotNull().alias("good"), _hashes(words(F.col("text"))).alias("h"))
     paired = hashed.select("good", "h", _pairs(F.col("h")).alias("p"))
-    features = F.concat(F.transform("h", lambda h: _bucket(h, False)), F.transform("p", lambda h: _bucket(h, True)))
+    features = F.concat(F.transform("h", lambda h: _bucket(h, False, buckets)), F.transform("p", lambda h: _bucket(h, True, buckets)))
     exploded = paired.select("good", F.explode(features).alias("bucket"))
     counts = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count(F.when(F.col("good"), 1)).alias("trusted"))
     found = {r["bucket"]: (r["trusted"], r["raw"]) for r in counts.collect()}
-    out = [0] * BUCKETS
-    for half in (range(BUCKETS // 2), range(BUCKETS // 2, BUCKETS)):
+    out = [0] * buckets
+    for half in (range(buckets // 2), range(buckets // 2, buckets)):
         trusted, raw = (sum(found.get(b, (0, 0))[k] for b in half) for k in (0, 1))
         for b in half if trusted else ():
             t, r = found.get(b, (0, 0))
@@ -109,28 +117,29 @@ def judge(docs: DataFrame, model: list[int], least: float = LEAST) -> DataFrame:
     """The documents with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed and kept."""
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept")
     own = [c for c in docs.columns if c not in made]
+    found_words, hashes, pairs, windows = free([*docs.columns, *made], "words", "hashes", "pairs", "windows")
     text = clean_text()
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.regexp_like(x, F.lit(f"[^{SPACE}]")))
     counted = docs.select(
         *[docs[c] for c in own],
-        words(text).alias("__words"),
+        words(text).alias(found_words),
         (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.when(F.contains(text, F.lit("\n")), F.size(lines) - F.size(F.array_distinct(lines))).otherwise(0).cast("long").alias("n_dup_lines"),
     )
     kept = [*own, "n_symbols", "n_dup_lines"]
-    hashed = counted.select(*kept, F.size("__words").cast("long").alias("n_words"), F.length(F.array_join("__words", "")).cast("long").alias("word_chars"), _hashes(F.col("__words")).alias("__hashes"))
+    hashed = counted.select(*kept, F.size(found_words).cast("long").alias("n_words"), F.length(F.array_join(found_words, "")).cast("long").alias("word_chars"), _hashes(F.col(found_words)).alias(hashes))
     kept += ["n_words", "word_chars"]
-    paired = hashed.select(*kept, "__hashes", _pairs(F.col("__hashes")).alias("__pairs"))
+    paired = hashed.select(*kept, hashes, _pairs(F.col(hashes)).alias(pairs))
     weights = F.split(F.lit(",".join(map(str, model))), ",").cast("array<tinyint>")  # folded to a constant
 
-    def steps(hashes: str, pair: bool) -> Column:
-        return F.aggregate(hashes, F.lit(0), lambda total, h: total + F.get(weights, _bucket(h, pair)))
+    def steps(hashed: str, pair: bool) -> Column:
+        return F.aggregate(hashed, F.lit(0), lambda total, h: total + F.get(weights, _bucket(h, pair, len(model))))
 
     features = F.greatest(2 * F.col("n_words") - 1, F.lit(1))
-    scored = paired.select(*kept, ((steps("__hashes", False) + steps("__pairs", True)) * STEP / features).alias("score"), _windows(F.col("__hashes"), F.col("__pairs")).alias("__windows"))
-    repeated = F.when(F.size(F.array_distinct("__windows")) == F.size("__windows"), 0).otherwise(_covered(F.col("__windows"))).cast("long")
+    scored = paired.select(*kept, ((steps(hashes, False) + steps(pairs, True)) * STEP / features).alias("score"), _windows(F.col(hashes), F.col(pairs)).alias(windows))
+    repeated = F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(_covered(F.col(windows))).cast("long")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    found = scored.withColumn("n_repeat_words", repeated).drop("__windows").withColumn("base_failed", failed)
+    found = scored.withColumn("n_repeat_words", repeated).drop(windows).withColumn("base_failed", failed)
     return found.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least))
 
 
@@ -140,9 +149,9 @@ def keep(docs: DataFrame, model: list[int], least: float = LEAST) -> DataFrame:
     The number that the filter reads as well cannot be computed twice, and so Spark computes the verdict once: a filter on
     the verdict alone would be moved below the columns it is made of and repeat them.
     """
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
-    judged = judge(rows, model, least).select("__row", "kept", F.monotonically_increasing_id().alias("__no"))
-    return judged.filter(F.col("kept") & (F.col("__no") >= 0)).select("__row.*")
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole_row"))
+    judged = judge(rows, model, least).select("whole_row", "kept", F.monotonically_increasing_id().alias("no"))
+    return judged.filter(F.col("kept") & (F.col("no") >= 0)).select("whole_row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -418,6 +418,24 @@ def test_quality_rules(spark, sf):
         assert r["kept"] == (not own[-1] and r["score"] >= quality_rules.LEAST)
 
 
+def test_quality_rules_held_out(spark):
+    """The fixed threshold on labels that the ratios were not fitted on."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    held = pu_quality.fold() == pu_quality.HELD_OUT
+    model = quality_rules.fit(docs, labels.filter(~held))
+    found = quality_rules.judge(docs.filter(held), model).join(labels, "doc_id").filter("not base_failed").groupBy("quality", "kept").count().collect()
+    count = {(r["quality"], r["kept"]): r["count"] for r in found}
+    share = lambda quality: count.get((quality, True), 0) / sum(n for (q, _), n in count.items() if q == quality)
+    assert sum(count.values()) > 700 and share(1) > 0.99 and share(0) < 0.05, count
+
+
+def test_more_buckets(spark, sf):
+    assert [quality_rules.buckets_for(n) for n in (0, 200_000, 300_000, 10**9)] == [1 << 16, 1 << 16, 1 << 17, 1 << 20]
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    model = quality_rules.fit(docs, labels, 1 << 18)
+    assert len(model) == 1 << 18 and quality_rules.judge(docs, model).filter("kept").count() > 0
+
+
 def test_quality_rules_awkward(spark, folder, texts, docs, none):
     for r in quality_rules.op3_quality_rules(spark, folder).collect():
         if r["doc_id"] in texts:
