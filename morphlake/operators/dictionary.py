@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphlake.functions.text import byte_length, byte_prefix
+from morphlake.functions.text import byte_length, byte_prefix, tokens_whitespace
 
 MOST_PAIRS = 7_000_000
 SLOT = 32
@@ -56,9 +56,14 @@ def trie_statistics(dictionary: DataFrame) -> DataFrame:
     return states.select("states", (F.col("states") - 1).alias("transitions"), F.lit(1).alias("one")).join(lemma_bytes.withColumn("one", F.lit(1)), "one").select("states", "transitions", "lemma_bytes")
 
 
-def corpus_dictionary(tokens: DataFrame, endings: str = "(s|en|tion)$") -> DataFrame:
-    """A dictionary from a corpus's own lower-cased tokens: those with such an ending, less the ending; none with a hyphen."""
-    keys = tokens.filter(F.regexp_like("token", F.lit(endings)) & ~F.contains("token", F.lit("-"))).select(F.col("token").alias("key")).distinct()
+def corpus_dictionary(texts: DataFrame, text: str = "text", endings: str = "(s|en|tion)$") -> DataFrame:
+    """A dictionary from a corpus's own lower-cased tokens: those with such an ending, less the ending; none with a hyphen.
+
+    Each text gives its different fitting tokens, so far fewer rows than tokens reach the exchange.
+    """
+    tokens = F.array_distinct(tokens_whitespace(F.lower(text)))
+    fitting = F.filter(tokens, lambda t: F.regexp_like(t, F.lit(endings)) & ~F.contains(t, F.lit("-")))
+    keys = texts.select(F.explode(fitting).alias("key")).distinct()
     return keys.select("key", F.regexp_replace("key", endings, "").alias("lemma"))
 
 

@@ -10,7 +10,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphlake.functions.text import NOT_SPACE, cut_text, join_tokens, lines_of, tokens_single_space, tokens_whitespace
@@ -32,29 +33,36 @@ def regroup(found: DataFrame, keys: list[str], out: str) -> DataFrame:
     return found.groupBy(*keys).agg(join_tokens(F.transform(ordered, lambda x: x["lemma"])).alias(out))
 
 
-def _by_join(texts: DataFrame, dictionary: DataFrame, keys: list[str], text: str, tokenizer: str, variant: Variant, out: str) -> DataFrame:
+def _by_join(texts: DataFrame, dictionary: DataFrame, keys: list[str], text: str, tokenizer: str, variant: Variant, out: str, blank: bool) -> DataFrame:
     dealt = texts.select(*keys, text).repartition(*[F.col(k) for k in keys])
-    return regroup(lookup(explode_tokens(dealt, keys, text, tokenizer), sized(dictionary), variant), keys, out)
+    tokens = TOKENIZERS[tokenizer](F.coalesce(text, F.lit("")) if blank else F.col(text))
+    exploded = dealt.select(*keys, (F.posexplode_outer if blank else F.posexplode)(tokens).alias("pos", "token"))
+    return regroup(lookup(exploded, sized(dictionary), variant), keys, out)
 
 
-def _spread(texts: DataFrame) -> DataFrame:
-    """A few unsplittable files would make a few tasks; many files stay as they are."""
+def spread(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Texts of fewer files than there are cores are dealt out by key, since one file may be one task; many files stay as
+    they are. Files are listed, nothing is run."""
     wanted = texts.sparkSession.sparkContext.defaultParallelism
-    return texts if texts.rdd.getNumPartitions() >= wanted else texts.repartition(wanted)
+    return texts.repartition(wanted, *[F.col(k) for k in keys]) if 0 < len(texts.inputFiles()) < wanted else texts
 
 
-def _collected(dictionary: DataFrame, variant: Variant, most: int | None) -> pa.Table | None:
+def collected(dictionary: DataFrame, variant: Variant, most: int = ARROW_ROWS) -> pa.Table | None:
     """The dictionary as the variant reads it, in bytes; None if it has more rows than that. Evaluated once."""
     lemma = F.col("lemma") if variant.lemma_bytes is None else cut_text(F.col("lemma"), variant.lemma_bytes)
     if variant.empty_is_miss:
         lemma = F.when(lemma == "", F.col("key")).otherwise(lemma)
     rows = dictionary.select(F.col("key").cast("binary").alias("key"), lemma.cast("binary").alias("lemma"))
-    found = (rows if most is None else rows.limit(most + 1)).toArrow()
-    return found if most is None or found.num_rows <= most else None
+    found = rows.limit(most + 1).toArrow()
+    return found if found.num_rows <= most else None
 
 
-def _by_arrow(texts: DataFrame, rows: pa.Table, keys: list[str], text: str, tokenizer: str, variant: Variant, out: str) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(dict(zip(rows["key"].to_pylist(), rows["lemma"].to_pylist(), strict=True)))
+def shared_map(spark: SparkSession, rows: pa.Table) -> Broadcast:
+    return spark.sparkContext.broadcast(dict(zip(rows["key"].to_pylist(), rows["lemma"].to_pylist(), strict=True)))
+
+
+def by_arrow(texts: DataFrame, shared: Broadcast, keys: list[str], text: str, tokenizer: str, variant: Variant, out: str, blank: bool = False) -> DataFrame:
+    """The Arrow plan with a dictionary from ``shared_map``."""
     split = (lambda x: pc.ascii_split_whitespace(pc.ascii_trim_whitespace(x))) if tokenizer == "whitespace" else (lambda x: pc.split_pattern(x, " "))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,26 +73,37 @@ def _by_arrow(texts: DataFrame, rows: pa.Table, keys: list[str], text: str, toke
             known = tokens.dictionary.cast(pa.binary()).to_pylist()
             lemmas = pa.array([get(t, t) for t in known], pa.binary()).take(tokens.indices)
             joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(pieces.offsets.to_numpy() - pieces.offsets[0].as_py(), pa.int32()), lemmas), b" ")
+            if blank:
+                bare = pc.equal(pc.binary_length(pc.ascii_trim_whitespace(batch.column(len(keys)))), 0)
+                joined = pc.if_else(bare, pa.scalar(b"", joined.type), joined)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], joined], [*keys, out])
 
-    value = F.lower(text) if variant.lower else F.col(text)
-    given = _spread(texts.filter(F.col(text).isNotNull())).select(*keys, value.alias(text))
-    if tokenizer == "whitespace":
+    value = F.coalesce(text, F.lit("")) if blank else F.col(text)
+    given = spread(texts if blank else texts.filter(F.col(text).isNotNull()), keys)
+    given = given.select(*keys, (F.lower(value) if variant.lower else value).alias(text))
+    if tokenizer == "whitespace" and not blank:
         given = given.filter(F.regexp_like(text, F.lit(NOT_SPACE)))
     kinds = ", ".join(f"`{k}` {given.schema[k].dataType.simpleString()}" for k in keys)
-    return given.mapInArrow(run, f"{kinds}, `{out}` binary").withColumn(out, F.col(out).cast("string"))
+    made = given.mapInArrow(run, f"{kinds}, `{out}` binary").withColumn(out, F.col(out).cast("string"))
+    return made
 
 
-def lemmatize_texts(texts: DataFrame, dictionary: DataFrame, keys: list[str], text: str = "text", tokenizer: str = "whitespace", variant: Variant = SINGLE_THREAD, plan: str = "auto", out: str = "lemmatized") -> DataFrame:
-    """The keys, which must be unique, and the lemmatized text; texts without tokens have no row."""
-    given = (keys, text, tokenizer, variant, out)
+def lemmatize_texts(texts: DataFrame, dictionary: DataFrame, keys: list[str], text: str = "text", tokenizer: str = "whitespace", variant: Variant = SINGLE_THREAD, plan: str = "auto", out: str = "lemmatized", blank: bool = False) -> DataFrame:
+    """The keys, which must be unique, and the lemmatized text. Texts without tokens have no row, or, with ``blank``, an
+    empty one. The Arrow plan is for dictionaries of at most ARROW_ROWS rows, which are counted: ``plan="arrow"`` raises
+    beyond them, ``"auto"`` joins."""
+    given = (keys, text, tokenizer, variant, out, blank)
     possible = variant.token_bytes is None and variant.misses
+    if blank and not variant.misses:
+        raise ValueError("blank texts need a variant that keeps misses")
     if plan == "arrow" or (plan == "auto" and possible):
         if not possible:
             raise ValueError("the Arrow plan neither cuts tokens nor drops misses")
-        rows = _collected(dictionary, variant, None if plan == "arrow" else ARROW_ROWS)
+        rows = collected(dictionary, variant, ARROW_ROWS)
         if rows is not None:
-            return _by_arrow(texts, rows, *given)
+            return by_arrow(texts, shared_map(texts.sparkSession, rows), *given)
+        if plan == "arrow":
+            raise ValueError(f"the dictionary has more than {ARROW_ROWS} rows; use the join plan")
     return _by_join(texts, dictionary, *given)
 
 
@@ -106,7 +125,4 @@ def split_lines(texts: DataFrame, keys: list[str], text: str = "text") -> DataFr
 
 def lemmatize_lines(lines: DataFrame, dictionary: DataFrame, keys: list[str], line: str = "line", variant: Variant = SINGLE_THREAD, plan: str = "auto", out: str = "text") -> DataFrame:
     """A row a line, blank ones included: white-space tokens looked up and joined by single spaces."""
-    found = lemmatize_texts(lines, dictionary, keys, line, "whitespace", variant, plan, out)
-    return lines.select(*keys).join(found, keys, "left").withColumn(out, F.coalesce(out, F.lit("")))
-
-
+    return lemmatize_texts(lines, dictionary, keys, line, "whitespace", variant, plan, out, blank=True)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,17 @@ def throughput(words: int, milliseconds: float) -> float:
     return words / (milliseconds / 1000) if milliseconds > 0 else 0.0
 
 
+def phase_times(phases: dict[str, Callable[[], DataFrame]]) -> dict[str, float]:
+    """Milliseconds of each phase, run to the end without output, and of all of them (``total``). A phase holds those it
+    reads from unless their result is stored."""
+    took = {}
+    for name, made in phases.items():
+        began = time.perf_counter()
+        made().write.format("noop").mode("overwrite").save()
+        took[name] = 1000 * (time.perf_counter() - began)
+    return took | {"total": sum(took.values())}
+
+
 def loop_statistics(runs: DataFrame) -> DataFrame:
     """From (words, ms) a run: iterations, mean and longest time, words a second over all of them."""
     total = F.sum("ms")

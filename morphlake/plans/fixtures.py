@@ -26,6 +26,13 @@ LINES = [
 ]
 TOKENS = ["Теплому", "теплому", "Києва", "двері", "двері,", "найвідповідальнішого", "по-перше", "абвгдеєжзийклмноп", "абракадабра", "мати"]
 TEXTS = ["Теплому ходив", "теплому ходив", "теплому  ходив", "двері, двері", "найвідповідальнішого абракадабра", " по-перше\tмати\nящірки", "", None, "мати\n\nКиєва\n", "двері мати"]
+#: The words of the demonstration.
+DEMO = [
+    "теплому", "ящірки", "синього", "українська", "ходив", "двері", "чоловіка", "жінці", "вікном", "містах", "читала", "пишемо",
+    "розмовляєш", "поїхав", "буду", "старіший", "найбільший", "відомому", "знайдену", "невідоме", "новини", "книжками", "допомагаючи", "бігатимеш",
+]
+#: Runs of a loop: words and milliseconds.
+RUNS = [(761_625, 12.5), (761_625, 0.75), (761_625, 0.5), (0, 0.25)]
 BREAKS = "one\r\ntwo\n\nthree four\r\n\r\nfive"
 
 
@@ -41,6 +48,10 @@ def tokens(spark: SparkSession) -> DataFrame:
     return _rows(spark, TOKENS, "i int, token string")
 
 
+def demo(spark: SparkSession) -> DataFrame:
+    return _rows(spark, DEMO, "i int, token string")
+
+
 def texts(spark: SparkSession) -> DataFrame:
     return _rows(spark, TEXTS, "id int, text string")
 

@@ -15,8 +15,8 @@ from morphlake.operators import lookup as k
 from morphlake.operators import metrics as m
 from morphlake.plans import fixtures as fx
 from morphlake.sources import records
-from morphlake.sources.dictionary_csv import parse_lines
-from morphlake.sources.text import words_any_break, words_raw
+from morphlake.sources.dictionary_csv import parse_lines, read_dictionary_lines
+from morphlake.sources.text import read_ordered_lines, words_any_break, words_raw, write_lines
 
 QUERIES = {}
 ORACLES = {}
@@ -59,9 +59,28 @@ def _parsed(spark: SparkSession) -> DataFrame:
     return parse_lines(fx.lines(spark))
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt out where they are few files."""
+    return z.spread(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
 def _corpus_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = z.explode_tokens(_table(spark, sf_dir, "documents"), ["doc_id"])
-    return d.corpus_dictionary(tokens.select(F.lower("token").alias("token")))
+    return d.corpus_dictionary(_documents(spark, sf_dir))
+
+
+def _stored_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a table, so that counting and joining it read files and not the corpus again."""
+    return d.load_or_build(spark, _scratch(spark), lambda: _corpus_dictionary(spark, sf_dir))
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A folder all executors share where the cluster names one; a local one for a local master alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="morphlake-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def _hexed(found: DataFrame) -> DataFrame:
@@ -121,17 +140,35 @@ def corpus_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corpus_dictionary(spark, sf_dir)
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A folder all executors share where the cluster names one, else a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="morphlake-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @_query("dict_roundtrip", ORACLES["dict_trie"])
 def dict_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.load_or_build(spark, _scratch(spark), lambda: d.trie_dictionary(_parsed(spark)))
 
 
+@_query("dict_dawg_roundtrip", ORACLES["dict_dawg_entries"])
+def dict_dawg_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.load_or_build(spark, _scratch(spark), lambda: d.automaton_entries(_parsed(spark)))
+
+
+@_query("dict_csv_scan", f"select column0::bigint as line_no, column1 as line from {fx.values(fx.LINES, 1)} t(column0, column1)")
+def dict_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark)
+    header = spark.createDataFrame([(0, "form,lemma")], "line_no int, line string")
+    write_lines(header.unionByName(fx.lines(spark)).coalesce(1), path, column="line")
+    return read_dictionary_lines(spark, path)
+
+
+@_query("dict_trie_corpus", f"with {_EXPLODED}, {_CORPUS}, g as (select lower(token) w, min(doc_id * 1000000 + pos) o from e group by 1) select w as key, arg_min(regexp_replace(w, '(s|en|tion)$', ''), o) lemma from g where not contains(w, '-') and not contains(w, ',') group by 1")
+def dict_trie_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie dictionary of a CSV made of all different words of the corpus: written, scanned, parsed, first line wins."""
+    tokens = z.explode_tokens(_documents(spark, sf_dir), ["doc_id"])
+    words = tokens.groupBy(F.lower("token").alias("w")).agg(F.min(F.col("doc_id") * 1_000_000 + F.col("pos")).alias("line_no")).filter(~F.contains("w", F.lit(",")))
+    path = _scratch(spark)
+    write_lines(words.select("line_no", F.concat("w", F.lit(","), F.regexp_replace("w", "(s|en|tion)$", ""), F.lit(",x")).alias("line")), path, column="line")
+    lines = read_ordered_lines(spark, path)
+    return d.trie_dictionary(parse_lines(lines))
+
+
 @_query("flat_record_roundtrip", f"with {_BOUNDED} select row_number() over (order by encode(key)) - 1 as at, key, lemma from bounded")
 def flat_record_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark)
@@ -158,7 +195,7 @@ def tokens_single_space_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("tokens_lower", f"with {_EXPLODED} select lower(token) token, count(*) n from e group by 1")
 def tokens_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = z.explode_tokens(_table(spark, sf_dir, "documents"), ["doc_id"])
+    tokens = z.explode_tokens(_documents(spark, sf_dir), ["doc_id"])
     return tokens.groupBy(F.lower("token").alias("token")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -245,9 +282,22 @@ def lookup_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"with {_EXPLODED}, {_CORPUS} select coalesce(lemma, lower(token)) lemma, count(*) n from e left join dict on k = lower(token) group by 1",
 )
 def lookup_corpus_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = z.explode_tokens(_table(spark, sf_dir, "documents"), ["doc_id"])
-    found = k.lookup(tokens, k.sized(_corpus_dictionary(spark, sf_dir)), k.Variant(lower=True, lemma_bytes=None))
-    return found.groupBy("lemma").agg(F.count(F.lit(1)).alias("n"))
+    tokens = z.explode_tokens(_documents(spark, sf_dir), ["doc_id"])
+    counted = tokens.groupBy(F.lower("token").alias("token")).agg(F.count(F.lit(1)).alias("n"))
+    found = k.lookup(counted, k.sized(_stored_dictionary(spark, sf_dir)), k.Variant(lemma_bytes=None))
+    return found.groupBy("lemma").agg(F.sum("n").alias("n"))
+
+
+@_query("lookup_demo", f"with {_TRIE} select i, token, coalesce(nullif(lemma, ''), token) lemma from {fx.values(fx.DEMO)} t(i, token) left join trie on key = token")
+def lookup_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return k.lookup(fx.demo(spark), k.sized(d.trie_dictionary(_parsed(spark))), k.PACKED)
+
+
+@_query("lookup_column", f"with {_EXPLODED}, {_CORPUS}, w as (select distinct token from e) select token, coalesce(lemma, token) lemma from w left join dict on k = token")
+def lookup_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The column entry point over all different tokens of the corpus, case kept."""
+    words = z.explode_tokens(_documents(spark, sf_dir), ["doc_id"]).select("token").distinct()
+    return z.lemmatize_column(words, "token", _stored_dictionary(spark, sf_dir), k.Variant(lemma_bytes=None))
 
 
 # Whole texts --------------------------------------------------------------------------------------------------------
@@ -280,7 +330,7 @@ def lemmatize_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("lemmatize_joined", _FLAGSHIP)
 def lemmatize_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return z.lemmatize_texts(_table(spark, sf_dir, "documents"), _corpus_dictionary(spark, sf_dir), ["doc_id"], variant=_WHOLE, plan="join")
+    return z.lemmatize_texts(_table(spark, sf_dir, "documents"), _stored_dictionary(spark, sf_dir), ["doc_id"], variant=_WHOLE, plan="join")
 
 
 @_query(
@@ -311,7 +361,7 @@ le as (select {key}, line_no, i pos, lower(ws[i]) token from (select {key}, line
     f"with {_EXPLODED}, {_CORPUS}, {_LINES.format(key='doc_id', source='documents', space=_SPACE)},\ng as (select doc_id, line_no, string_agg(coalesce(lemma, token), ' ' order by pos) t from le left join dict on k = token group by 1, 2)\nselect doc_id, line_no, coalesce(t, '') as text from ln left join g using (doc_id, line_no)",
 )
 def lemmatize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = z.split_lines(_table(spark, sf_dir, "documents"), ["doc_id"])
+    lines = z.split_lines(_documents(spark, sf_dir), ["doc_id"])
     found = z.lemmatize_lines(lines, _corpus_dictionary(spark, sf_dir), ["doc_id", "line_no"], variant=_WHOLE)
     return found.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "text")
 
@@ -325,6 +375,45 @@ def lemmatize_fixture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.col("line_no").cast("long").alias("line_no"), "text")
 
 
+def _fixture_lines_sql(dictionary: str, name: str, slot: int | None, lemma: int | None) -> str:
+    key = "hex(encode(token))" if slot is None else _cut("token", slot)
+    hit = "hex(encode(lemma))" if lemma is None else _cut("lemma", lemma)
+    token = f"case when lemma is null then {key} when lemma = '' then hex(encode(token)) else {hit} end"
+    return (
+        f"with {dictionary}, {_TEXTS}, {_LINES.format(key='id', source='texts', space=_SPACE)},\ng as (select id, line_no, string_agg({token}, '20' order by pos) t from le left join {name} on hex(encode(key)) = {key} group by 1, 2)\n"
+        "select id, line_no, coalesce(t, '') text_hex from ln left join g using (id, line_no)"
+    )
+
+
+def _fixture_lines(spark: SparkSession, dictionary: DataFrame, variant: k.Variant) -> DataFrame:
+    found = z.lemmatize_lines(z.split_lines(fx.texts(spark), ["id"]), dictionary, ["id", "line_no"], variant=variant)
+    return found.select("id", F.col("line_no").cast("long").alias("line_no"), F.hex(F.col("text").cast("binary")).alias("text_hex"))
+
+
+@_query("lemmatize_lines_packed", _fixture_lines_sql(_TRIE, "trie", None, 32))
+def lemmatize_lines_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fixture_lines(spark, d.trie_dictionary(_parsed(spark)), k.PACKED)
+
+
+@_query("lemmatize_lines_stride", _fixture_lines_sql(_TRIE, "trie", 31, 31))
+def lemmatize_lines_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fixture_lines(spark, d.trie_dictionary(_parsed(spark)), k.STRIDE)
+
+
+@_query("lemmatize_lines_bounded", _fixture_lines_sql(_BOUNDED, "bounded", 31, None))
+def lemmatize_lines_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fixture_lines(spark, d.bounded_dictionary(_parsed(spark)), k.BOUNDED)
+
+
+@_query("lines_roundtrip", f"with {_LINES.format(key='doc_id', source='documents', space=_SPACE)} select row_number() over (order by doc_id, line_no) - 1 as line_no, line from ln")
+def lines_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of the documents through the ordered sink into part files, scanned in splits and numbered over the files."""
+    lines = z.split_lines(_documents(spark, sf_dir), ["doc_id"]).withColumn("order", F.struct("doc_id", "line_no"))
+    path = _scratch(spark)
+    write_lines(lines, path, order="order", column="line")
+    return read_ordered_lines(spark, path)
+
+
 # Counts -------------------------------------------------------------------------------------------------------------
 @_query(
     "line_word_count",
@@ -348,5 +437,10 @@ def truncated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("cardinalities", f"with {_EXPLODED}, {_CORPUS} select count(*) words, count(*) filter (coalesce(lemma, token) <> '') lemmas, count(distinct doc_id) texts from e left join dict on k = lower(token)")
 def cardinalities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = z.explode_tokens(_table(spark, sf_dir, "documents"), ["doc_id"])
-    return m.cardinalities(k.lookup(tokens, k.sized(_corpus_dictionary(spark, sf_dir)), _WHOLE), ["doc_id"])
+    tokens = z.explode_tokens(_documents(spark, sf_dir), ["doc_id"])
+    return m.cardinalities(k.lookup(tokens, k.sized(_stored_dictionary(spark, sf_dir)), _WHOLE), ["doc_id"])
+
+
+@_query("loop_statistics", "select count(*) iterations, avg(ms) mean_ms, max(ms) longest_ms, sum(words) / (sum(ms) / 1000) words_per_second from (values " + ", ".join(f"({w}, {t}::double)" for w, t in fx.RUNS) + ") t(words, ms)")
+def loop_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.loop_statistics(spark.createDataFrame(fx.RUNS, "words long, ms double"))

@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from morphlake.sources.text import read_lines
 
-def read_dictionary_lines(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """line_no (from 1 behind the header), line. A missing file raises.
 
-    First-entry-wins needs the order of lines, so a file is read whole once; keep the result as a table where the
-    dictionary is large or used again.
-    """
-    pieces = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n", -1)).alias("at", "line"), F.size(F.split("value", "\n", -1)).alias("n"))
-    kept = pieces.filter(~((F.col("at") == F.col("n") - 1) & (F.col("line") == "")))
-    return kept.filter(F.col("at") >= int(header)).select((F.col("at") + 1 - int(header)).alias("line_no"), "line")
+def read_dictionary_lines(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """line_no (from 1 behind the header), line. A missing file raises. First-entry-wins needs the order of lines, which the
+    scan numbers over a split file."""
+    return read_lines(spark, path).filter(F.col("line_no") >= int(header)).select((F.col("line_no") + 1 - int(header)).alias("line_no"), "line")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

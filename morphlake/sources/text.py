@@ -4,14 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from morphlake.functions.text import lines_of
+
+def _numbered(spark: SparkSession, path: str, over_files: bool) -> DataFrame:
+    """file, line_no, line of splittable text files.
+
+    A file is read in blocks, each by one task in order. A row's place in its block is its row id less the block's least;
+    the lines of the blocks before are sums over a row a block. The files are read twice, the first time for the count.
+    """
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")).alias("block")
+    rows = spark.read.text(path, lineSep="\n").select("value", block, F.monotonically_increasing_id().alias("row"))
+    blocks = rows.groupBy("block").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("lines"))
+    earlier = W.orderBy("block") if over_files else W.partitionBy("block.file").orderBy("block")
+    blocks = blocks.select("block", "first", (F.sum("lines").over(earlier) - F.col("lines")).alias("before"))
+    found = rows.join(blocks, "block")
+    return found.select(F.col("block.file").alias("file"), (F.col("row") - F.col("first") + F.col("before")).alias("line_no"), F.col("value").alias("line"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no (from 0), line: pieces between line feeds; a carriage return stays in its line."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), lines_of(F.col("value")).alias("lines"))
-    return whole.select("file", F.posexplode("lines").alias("line_no", "line"))
+    """file, line_no (from 0), line: pieces between line feeds; a carriage return stays in its line. Files are split."""
+    return _numbered(spark, path, over_files=False)
+
+
+def read_ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line_no, line over all files of a folder in order of their names, as ``write_lines`` leaves them."""
+    return _numbered(spark, path, over_files=True).select("line_no", "line")
 
 
 def read_unordered_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -15,7 +15,7 @@ from morphlake.operators import metrics as m
 from morphlake.plans import fixtures as fx
 from morphlake.sources import records
 from morphlake.sources.dictionary_csv import parse_lines, read_dictionary_lines
-from morphlake.sources.text import read_lines, read_words_any_break, read_words_raw, write_lines
+from morphlake.sources.text import read_lines, read_ordered_lines, read_words_any_break, read_words_raw, write_lines
 
 LONG = "найвідповідальнішого"
 CUT = "найвідповідальні"
@@ -181,3 +181,49 @@ def test_command_line(spark, tmp_path, capsys):
         assert out == ("теплий ходити\n\n\n" if variant == "single_thread" else "теплий ходити\n\nдвері\n")
     assert main([str(source), str(text), "--seconds", "0"]) == 0
     assert "1 iterations" in capsys.readouterr().err
+
+
+def test_split_files_keep_line_numbers(spark, tmp_path):
+    """Files of many blocks, an empty one and one without a last line feed: numbers are those of the lines in order."""
+    texts = {"a.txt": "".join(f"line {i}\n" * (1 + i % 3) for i in range(3000)), "b.txt": "", "c.txt": "one\r\n\n\nlast"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        assert read_lines(spark, str(tmp_path / "a.txt")).rdd.getNumPartitions() > 3
+        found = sorted((r["file"].rsplit("/")[-1], r["line_no"], r["line"]) for r in read_lines(spark, str(tmp_path)).collect())
+        ordered = [r["line"] for r in read_ordered_lines(spark, str(tmp_path)).orderBy("line_no").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    pieces = {name: text.split("\n")[: -1 if text.endswith("\n") or not text else None] for name, text in texts.items()}
+    assert found == [(name, i, line) for name, lines in sorted(pieces.items()) for i, line in enumerate(lines)]
+    assert ordered == [line for _, lines in sorted(pieces.items()) for line in lines]
+
+
+def test_large_dictionaries_join(spark, monkeypatch):
+    """Beyond the counted bound the forced Arrow plan raises and the automatic one joins."""
+    texts = spark.createDataFrame([(1, "a  b"), (2, " "), (3, None)], "id int, text string")
+    dictionary = spark.createDataFrame([("a", "x"), ("b", "y"), ("", "z")], "key string, lemma string")
+    monkeypatch.setattr(z, "ARROW_ROWS", 2)
+    with pytest.raises(ValueError, match="join plan"):
+        z.lemmatize_texts(texts, dictionary, ["id"], plan="arrow")
+    assert {r["id"]: r["lemmatized"] for r in z.lemmatize_texts(texts, dictionary, ["id"]).collect()} == {1: "x y"}
+    for plan in ("auto", "join"):
+        assert {r["id"]: r["text"] for r in z.lemmatize_lines(texts, dictionary, ["id"], line="text", plan=plan).collect()} == {1: "x y", 2: "", 3: ""}
+        monkeypatch.setattr(z, "ARROW_ROWS", 9)
+
+
+def test_metrics_and_demonstration(spark, tmp_path, capsys):
+    from morphlake.cli import main
+
+    source, text = tmp_path / "dict.csv", tmp_path / "in.txt"
+    source.write_bytes(("form,lemma\n" + "\n".join(fx.LINES) + "\n").encode())
+    text.write_bytes("Теплому ходив\n\nдвері\n".encode())
+    assert main([str(source), str(text), "--metrics-only"]) == 0
+    out = capsys.readouterr()
+    assert out.out == "" and out.err.startswith("Words: 3\n") and all(name in out.err for name in ("dictionary", "scan", "tokenize", "lookup", "end_to_end"))
+    assert main([str(source)]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert len(lines) == 24 and lines[0] == "теплому теплий" and lines[3] == "українська українська"
+    took = m.phase_times({"one": lambda: spark.range(3), "two": lambda: spark.range(3)})
+    assert took["total"] == took["one"] + took["two"] > 0
