@@ -156,8 +156,10 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 # Similar texts ------------------------------------------------------------------------------------------------------
 SIMILARITY, SIMILAR_SHINGLE, BITS = 0.8, 5, 768
 SIMILAR_CROWD, LEADERS = 128, 2
-#: Segments whose candidates are made in one job.
-SEGMENTS_A_JOB = 8
+#: Parts that a component's members are dealt to where they meet its smallest doc_id.
+SALTS = 16
+#: Segments that tie large groups before the others pair what is left, and segments whose candidates are made in one job.
+FIRST_SEGMENTS, SEGMENTS_A_JOB = 2, 8
 
 
 def differing_share(similarity: float) -> float:
@@ -248,12 +250,13 @@ def wide_fingerprints(docs: DataFrame, size: int = SIMILAR_SHINGLE, bits: int =
 
 
 def _entries(numbers: range, width: int):
-    """A row a fingerprint and probe of these segments: key (twice the segment's number and value, odd for a probe) and order
-    (the node, mixed with the segment's value, so that every segment sorts its members differently)."""
+    """A row a fingerprint and probe of these segments: key (twice the segment's number and value, odd for a probe), order (the
+    node, mixed with the segment's value, so that every segment sorts its members differently) and root (0: not tied yet)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = batch.column("node").to_numpy().view(np.uint64)
+            root = batch.column("root").to_numpy() if "root" in batch.schema.names else np.zeros(len(node), np.int64)
             lists = batch.column("words")
             words = lists.flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
             for no in numbers:
@@ -262,31 +265,33 @@ def _entries(numbers: range, width: int):
                 if shift + width > 64:
                     own = own | (words[:, word + 1] << np.uint64(64 - shift))
                 own = own & np.uint64((1 << width) - 1)
-                keys, nodes = [own * np.uint64(2)], [node]
+                keys, nodes, tied = [own * np.uint64(2)], [node], [root]
                 for bit in range(width):
                     has = (own >> np.uint64(bit)) & np.uint64(1) > 0
                     keys.append((own[has] - np.uint64(1 << bit)) * np.uint64(2) + np.uint64(1))
                     nodes.append(node[has])
+                    tied.append(root[has])
                 key = np.concatenate(keys) + np.uint64(no << width + 1)
                 order = np.concatenate(nodes) ^ _finished(key >> np.uint64(1))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(order.view(np.int64))], ["key", "order"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(order.view(np.int64)), pa.array(np.concatenate(tied))], ["key", "order", "root"])
 
     return run
 
 
 def _meet(crowd: int):
     """From entries in order of key and order to pairs (a, b) of nodes: all pairs with a filed one of a segment's first
-    ``crowd`` entries where it has no more, else each entry with the segment's first LEADERS filed ones. Entries of one
-    segment pass by as a stream; no more than ``crowd`` of them are held."""
+    ``crowd`` entries where it has no more, else each entry with the segment's first LEADERS filed ones. Nodes of one root
+    are tied already and make no pair. Entries of one segment pass by as a stream; no more than ``crowd`` of them are held."""
 
-    def pairs(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(key: np.ndarray, node: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         group, filed = key >> 1, key & 1 == 0
         i, out_a, out_b, step = np.nonzero(filed)[0], [], [], 1
         while len(i):
             i = i[i + step < len(key)]
             i = i[group[i] == group[i + step]]
-            out_a.append(node[i])
-            out_b.append(node[i + step])
+            new = i[(root[i] == 0) | (root[i] != root[i + step])]
+            out_a.append(node[new])
+            out_b.append(node[new + step])
             step += 1
         return np.concatenate(out_a or [node[:0]]), np.concatenate(out_b or [node[:0]])
 
@@ -296,11 +301,12 @@ def _meet(crowd: int):
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_node, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), 0  # the last segment's first entries, and how many it has
+        held_key, held_node, held_root, seen = *[np.zeros(0, np.int64)] * 3, 0  # the last segment's first entries, and how many it has
         for batch in batches:
             key = np.concatenate([held_key, batch.column("key").to_numpy()])
             node = batch.column("order").to_numpy().view(np.uint64) ^ _finished(batch.column("key").to_numpy().view(np.uint64) >> np.uint64(1))
             node = np.concatenate([held_node, node.view(np.int64)])
+            root = np.concatenate([held_root, batch.column("root").to_numpy()])
             passed = seen - len(held_key)  # entries of the first segment here that are gone
             group = key >> 1
             starts = np.nonzero(np.r_[True, group[1:] != group[:-1]])[0] if len(key) else np.zeros(0, np.int64)
@@ -309,41 +315,54 @@ def _meet(crowd: int):
             last = np.repeat(np.arange(len(sizes)), sizes) == len(sizes) - 1
             crowded = np.repeat(true_sizes > crowd, sizes)
             plain = ~last & ~crowded
-            out = [pairs(key[plain], node[plain])]
+            out = [pairs(key[plain], node[plain], root[plain])]
             first = np.repeat(starts, sizes)
             for k in range(LEADERS):
                 leader = np.minimum(first + k, len(key) - 1)
-                fits = crowded & (group[leader] == group) & (key[leader] & 1 == 0)
+                fits = crowded & (group[leader] == group) & (key[leader] & 1 == 0) & ((root == 0) | (root[leader] != root))
                 out.append((node[leader[fits]], node[fits]))
             yield batch_of(*(np.concatenate(x) for x in zip(*out, strict=True)))
             if len(starts):
-                held_key, held_node, seen = key[starts[-1] :][:crowd], node[starts[-1] :][:crowd], int(true_sizes[-1])
+                held_key, held_node, held_root = (x[starts[-1] :][:crowd] for x in (key, node, root))
+                seen = int(true_sizes[-1])
         if 1 < seen <= crowd:
-            yield batch_of(*pairs(held_key, held_node))
+            yield batch_of(*pairs(held_key, held_node, held_root))
 
     return run
 
 
 def _candidates(nodes: DataFrame, numbers: range, width: int, crowd: int) -> DataFrame:
     """a, b: nodes that meet in one of these segments; one exchange of entries, one of pairs."""
-    entries = nodes.mapInArrow(_entries(numbers, width), "key long, order long")
+    entries = nodes.mapInArrow(_entries(numbers, width), "key long, order long, root long")
     dealt = entries.repartition(F.shiftright("key", 1)).sortWithinPartitions("key", "order")
     return store(dealt.mapInArrow(_meet(crowd), "a long, b long").distinct(), "candidates").df
 
 
+def _similar_pairs(pairs: DataFrame, side: DataFrame, most: int) -> DataFrame:
+    for name in "ab":
+        pairs = pairs.join(side.select(F.col("node").alias(name), F.col("words").alias(f"words_{name}")), name)
+    distance = F.aggregate(F.zip_with("words_a", "words_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
+    return pairs.filter(distance <= most).select("a", "b")
+
+
 def similar_links(nodes: DataFrame, similarity: float = SIMILARITY, bits: int = BITS, crowd: int = SIMILAR_CROWD) -> DataFrame:
-    """a, b: linked nodes, from a stored table of node and words."""
+    """a, b: links, from a stored table of node and words, that have the components of all links found. What the first
+    segments have tied into one component is not paired again by the others."""
     width = segment_width(nodes.count())
     count = bits // width
-    every = [_candidates(nodes.select("node", "words"), range(at, min(count, at + SEGMENTS_A_JOB)), width, crowd) for at in range(0, count, SEGMENTS_A_JOB)]
+    first = range(min(FIRST_SEGMENTS, count))
+    others = [range(at, min(count, at + SEGMENTS_A_JOB)) for at in range(len(first), count, SEGMENTS_A_JOB)]
+    side, most = small(nodes.select("node", "words"), 16 + bits // 8), math.floor(bits * differing_share(similarity))
+    found = store(_similar_pairs(_candidates(nodes.select("node", "words"), first, width, crowd), side, most), "links").df
+    if not others:
+        return found
+    tied = store(nodes.select("node", "words").join(small(roots(found), 16), "node", "left").select("node", "words", F.coalesce("root", F.lit(0)).alias("root")), "tied")
+    every = [_candidates(tied.df, numbers, width, crowd) for numbers in others]
+    tied.drop()
     pairs = every[0]
     for more in every[1:]:
         pairs = pairs.unionByName(more)
-    side = small(nodes, 16 + bits // 8)
-    for name in "ab":
-        pairs = pairs.join(side.select(F.col("node").alias(name), F.col("words").alias(f"words_{name}")), name)
-    distance = F.aggregate(F.zip_with("words_a", "words_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
-    return pairs.filter(distance <= math.floor(bits * differing_share(similarity))).select("a", "b")
+    return found.unionByName(_similar_pairs(pairs.distinct(), side, most))
 
 
 def similar(docs: DataFrame, similarity: float = SIMILARITY, size: int = SIMILAR_SHINGLE, bits: int = BITS, crowd: int = SIMILAR_CROWD) -> DataFrame:
@@ -356,9 +375,11 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, size: int = SIMILAR
 
 def _named(found: DataFrame, nodes: DataFrame, root: DataFrame, key: str) -> DataFrame:
     """Every row with the smallest doc_id of its component."""
-    tied = nodes.join(root, nodes[key] == root["node"], "left").select(nodes[key], "first_id", F.coalesce("root", nodes[key]).alias("root"))
-    least = tied.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return found.join(store(tied.join(least, "root").select(key, "component_id"), "components").df, key)
+    salt = F.when(F.col("root").isNull(), 0).otherwise(F.pmod(F.xxhash64(nodes[key]), F.lit(SALTS)).cast("int"))
+    tied = nodes.join(root, nodes[key] == root["node"], "left").select(nodes[key], "first_id", F.coalesce("root", nodes[key]).alias("root"), salt.alias("salt"))
+    least = tied.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    every = F.when(F.col("n") > 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return found.join(store(tied.join(least.select("root", "component_id", F.explode(every).alias("salt")), ["root", "salt"]).select(key, "component_id"), "components").df, key)
 
 
 def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -249,16 +249,16 @@ def test_meeting_in_any_batches():
     key = np.sort(chance.integers(0, 60, 900))
     order = chance.integers(-(2**62), 2**62, 900)
     node = (order.view(np.uint64) ^ simhash._finished(key.view(np.uint64) >> np.uint64(1))).view(np.int64)
-    for crowd in (5, 1000):
-        for step in (1, 7, 64, 900):
-            cut = [pa.RecordBatch.from_arrays([pa.array(key[i : i + step]), pa.array(order[i : i + step])], ["key", "order"]) for i in range(0, 900, step)]
-            got = {(a, b) for out in simhash._meet(crowd)(iter(cut)) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)}
-            want = set()
-            for group in set(key >> 1):
-                own = np.nonzero(key >> 1 == group)[0]
-                first = own if len(own) <= crowd else own[: simhash.LEADERS]
-                want |= {(min(node[i], node[j]), max(node[i], node[j])) for i in first if key[i] % 2 == 0 for j in own if node[i] != node[j]}
-            assert got == want, (crowd, step)
+    some = node % 4  # 0: not tied yet
+    for crowd, step, root in product((5, 1000), (1, 7, 64, 900), (np.zeros(900, np.int64), some)):
+        cut = [pa.RecordBatch.from_arrays([pa.array(x[i : i + step]) for x in (key, order, root)], ["key", "order", "root"]) for i in range(0, 900, step)]
+        got = {(a, b) for out in simhash._meet(crowd)(iter(cut)) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)}
+        want = set()
+        for group in set(key >> 1):
+            own = np.nonzero(key >> 1 == group)[0]
+            first = own if len(own) <= crowd else own[: simhash.LEADERS]
+            want |= {(min(node[i], node[j]), max(node[i], node[j])) for i in first if key[i] % 2 == 0 for j in own if node[i] != node[j] and (root[i] == 0 or root[i] != root[j])}
+        assert got == want, (crowd, step)
     assert simhash.found_share(0.8, 200_000) == pytest.approx(0.908, abs=1e-3) and simhash.found_share(0.9, 200_000) > 0.99
 
 
