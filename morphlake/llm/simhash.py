@@ -19,9 +19,9 @@ shingles, differ in a share acos(2 J / (1 + J)) / pi of their bits at Jaccard si
 complete distance is at most that share at ``similarity``. Segments are eight bits wider than the logarithm of the number
 of distinct fingerprints, so chance candidates stay a few a text at any size; pairs at the threshold share a segment
 within one bit with a probability that ``found_share`` gives (at 200,000 texts 0.91, and 0.99 for a similarity of 0.87), closer ones nearly always. A
-segment with more than ``crowd`` fingerprints or probes links its members to ``LEADERS`` of them, chosen by hash and others
-in every segment, where the complete distances allow, so a family of many near copies costs rows in proportion to it; its
-members still meet in pairs under their less crowded segments.
+segment's members are compared where they lie together and come out as edges to the smallest one linked, so a family of
+many near copies, or of texts that are alike below the threshold, costs rows in proportion to its members. In a segment of
+more than ``crowd`` members the first ``crowd``, others in every segment, meet all, and the rest meet within ``crowd`` places.
 
 Edge cases: null text is empty; texts without words have fingerprint zero and link like any other; texts of fewer words
 than a shingle are one shingle; rows that repeat a doc_id are rows of their own; a null doc_id names a component only if
@@ -155,11 +155,11 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 # Similar texts ------------------------------------------------------------------------------------------------------
 SIMILARITY, SIMILAR_SHINGLE, BITS = 0.8, 5, 768
-SIMILAR_CROWD, LEADERS = 128, 2
+SIMILAR_CROWD = 512
 #: Parts that a component's members are dealt to where they meet its smallest doc_id.
 SALTS = 16
-#: Segments that tie large groups before the others pair what is left, and segments whose candidates are made in one job.
-FIRST_SEGMENTS, SEGMENTS_A_JOB = 2, 8
+#: Segments whose entries are dealt out in one job.
+SEGMENTS_A_JOB = 8
 
 
 def differing_share(similarity: float) -> float:
@@ -250,119 +250,114 @@ def wide_fingerprints(docs: DataFrame, size: int = SIMILAR_SHINGLE, bits: int =
 
 
 def _entries(numbers: range, width: int):
-    """A row a fingerprint and probe of these segments: key (twice the segment's number and value, odd for a probe), order (the
-    node, mixed with the segment's value, so that every segment sorts its members differently) and root (0: not tied yet)."""
+    """A row a fingerprint and probe of these segments: key (twice the segment's number and value, odd for a probe) and node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column("node").to_numpy().view(np.uint64)
-            root = batch.column("root").to_numpy() if "root" in batch.schema.names else np.zeros(len(node), np.int64)
-            lists = batch.column("words")
-            words = lists.flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+            node = batch.column("node").to_numpy()
+            words = _matrix(batch)
             for no in numbers:
                 word, shift = divmod(no * width, 64)
                 own = words[:, word] >> np.uint64(shift)
                 if shift + width > 64:
                     own = own | (words[:, word + 1] << np.uint64(64 - shift))
                 own = own & np.uint64((1 << width) - 1)
-                keys, nodes, tied = [own * np.uint64(2)], [node], [root]
+                keys, nodes = [own * np.uint64(2)], [node]
                 for bit in range(width):
                     has = (own >> np.uint64(bit)) & np.uint64(1) > 0
                     keys.append((own[has] - np.uint64(1 << bit)) * np.uint64(2) + np.uint64(1))
                     nodes.append(node[has])
-                    tied.append(root[has])
                 key = np.concatenate(keys) + np.uint64(no << width + 1)
-                order = np.concatenate(nodes) ^ _finished(key >> np.uint64(1))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(order.view(np.int64)), pa.array(np.concatenate(tied))], ["key", "order", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
 
     return run
 
 
-def _meet(crowd: int):
-    """From entries in order of key and order to pairs (a, b) of nodes: all pairs with a filed one of a segment's first
-    ``crowd`` entries where it has no more, else each entry with the segment's first LEADERS filed ones. Nodes of one root
-    are tied already and make no pair. Entries of one segment pass by as a stream; no more than ``crowd`` of them are held."""
-
-    def pairs(key: np.ndarray, node: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        group, filed = key >> 1, key & 1 == 0
-        i, out_a, out_b, step = np.nonzero(filed)[0], [], [], 1
-        while len(i):
-            i = i[i + step < len(key)]
-            i = i[group[i] == group[i + step]]
-            new = i[(root[i] == 0) | (root[i] != root[i + step])]
-            out_a.append(node[new])
-            out_b.append(node[new + step])
-            step += 1
-        return np.concatenate(out_a or [node[:0]]), np.concatenate(out_b or [node[:0]])
-
-    def batch_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        both = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b]
-        both = np.unique(both, axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """The fingerprints of a batch, a row each."""
+    return batch.column("words").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of entries in order of key those that are not alone in a segment with a filed one; no row more than came in."""
+    held, last, opened = (np.zeros(0, np.int64), np.zeros(0, np.int64)), -1, False  # a segment's first entry until a second is met
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, node = (np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("key", "node"), strict=True))
+        group = key >> 1
+        begins = np.r_[group[0] != last, group[1:] != group[:-1]]
+        first = np.maximum.accumulate(np.where(begins, np.arange(len(key)), -1))
+        filed = np.where(first >= 0, key[first] & 1 == 0, opened)
+        met = filed & (~begins | np.r_[group[1:] == group[:-1], False])
+        yield pa.RecordBatch.from_arrays([pa.array(key[met]), pa.array(node[met])], ["key", "node"])
+        alone = bool(begins[-1])
+        held = (key[-1:], node[-1:]) if alone else (key[:0], node[:0])
+        last, opened = (-1 if alone else group[-1]), bool(filed[-1])
+
+
+def _linked(most: int, crowd: int):
+    """From entries with fingerprints, in order of key, to edges (a, b): a node and the smallest one that links reach from it
+    among the entries at hand. A filed entry meets all entries within ``crowd`` places, and each of a segment's first
+    ``crowd`` meets all others of it; complete distances decide. At most one edge an entry and batch comes out, and no more
+    than a batch and ``crowd`` entries are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_node, held_root, seen = *[np.zeros(0, np.int64)] * 3, 0  # the last segment's first entries, and how many it has
+        held = None
         for batch in batches:
-            key = np.concatenate([held_key, batch.column("key").to_numpy()])
-            node = batch.column("order").to_numpy().view(np.uint64) ^ _finished(batch.column("key").to_numpy().view(np.uint64) >> np.uint64(1))
-            node = np.concatenate([held_node, node.view(np.int64)])
-            root = np.concatenate([held_root, batch.column("root").to_numpy()])
-            passed = seen - len(held_key)  # entries of the first segment here that are gone
-            group = key >> 1
-            starts = np.nonzero(np.r_[True, group[1:] != group[:-1]])[0] if len(key) else np.zeros(0, np.int64)
+            if not batch.num_rows:
+                continue
+            key, node, words = batch.column("key").to_numpy(), batch.column("node").to_numpy(), _matrix(batch)
+            if held:
+                key, node, words = (np.concatenate(x) for x in zip(held, (key, node, words), strict=True))
+            place = np.arange(len(key))
+            starts = np.nonzero(np.r_[True, (key[1:] >> 1) != (key[:-1] >> 1)])[0]
             sizes = np.diff(np.r_[starts, len(key)])
-            true_sizes = sizes + np.r_[passed, np.zeros(max(0, len(sizes) - 1), np.int64)][: len(sizes)]
-            last = np.repeat(np.arange(len(sizes)), sizes) == len(sizes) - 1
-            crowded = np.repeat(true_sizes > crowd, sizes)
-            plain = ~last & ~crowded
-            out = [pairs(key[plain], node[plain], root[plain])]
-            first = np.repeat(starts, sizes)
-            for k in range(LEADERS):
-                leader = np.minimum(first + k, len(key) - 1)
-                fits = crowded & (group[leader] == group) & (key[leader] & 1 == 0) & ((root == 0) | (root[leader] != root))
-                out.append((node[leader[fits]], node[fits]))
-            yield batch_of(*(np.concatenate(x) for x in zip(*out, strict=True)))
-            if len(starts):
-                held_key, held_node, held_root = (x[starts[-1] :][:crowd] for x in (key, node, root))
-                seen = int(true_sizes[-1])
-        if 1 < seen <= crowd:
-            yield batch_of(*pairs(held_key, held_node, held_root))
+            first, end = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
+            reach = np.where(place - first < crowd, end, np.minimum(end, place + crowd))
+            least, tied, step = node.copy(), [], 1
+
+            def tie(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> None:
+                low = np.minimum(least[a], least[b])
+                np.minimum.at(least, a, low)
+                np.minimum.at(least, b, low)
+
+            i = place[key & 1 == 0]
+            while len(i := i[i + step < reach[i]]):
+                apart = i[least[i] != least[i + step]]
+                near = apart[np.bitwise_count(words[apart] ^ words[apart + step]).sum(axis=1, dtype=np.int64) <= most]
+                if len(near):
+                    tie(near, near + step, least)
+                    tied.append(np.stack([near, near + step]))
+                step += 1
+            if tied:
+                a, b = np.concatenate(tied, axis=1)
+                while (least[a] != least[b]).any():
+                    tie(a, b, least)
+            edges = np.unique(np.stack([least, node], axis=1)[least != node], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+            held = tuple(x[starts[-1] :][:crowd] for x in (key, node, words))
 
     return run
 
 
-def _candidates(nodes: DataFrame, numbers: range, width: int, crowd: int) -> DataFrame:
-    """a, b: nodes that meet in one of these segments; one exchange of entries, one of pairs."""
-    entries = nodes.mapInArrow(_entries(numbers, width), "key long, order long, root long")
-    dealt = entries.repartition(F.shiftright("key", 1)).sortWithinPartitions("key", "order")
-    return store(dealt.mapInArrow(_meet(crowd), "a long, b long").distinct(), "candidates").df
-
-
-def _similar_pairs(pairs: DataFrame, side: DataFrame, most: int) -> DataFrame:
-    for name in "ab":
-        pairs = pairs.join(side.select(F.col("node").alias(name), F.col("words").alias(f"words_{name}")), name)
-    distance = F.aggregate(F.zip_with("words_a", "words_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
-    return pairs.filter(distance <= most).select("a", "b")
-
-
 def similar_links(nodes: DataFrame, similarity: float = SIMILARITY, bits: int = BITS, crowd: int = SIMILAR_CROWD) -> DataFrame:
-    """a, b: links, from a stored table of node and words, that have the components of all links found. What the first
-    segments have tied into one component is not paired again by the others."""
+    """a, b: edges, from a stored table of node and words, that have the components of all links found. What is alone in its
+    segments falls away before the fingerprints are brought to the rest, and no candidate pair is ever a row."""
     width = segment_width(nodes.count())
-    count = bits // width
-    first = range(min(FIRST_SEGMENTS, count))
-    others = [range(at, min(count, at + SEGMENTS_A_JOB)) for at in range(len(first), count, SEGMENTS_A_JOB)]
-    side, most = small(nodes.select("node", "words"), 16 + bits // 8), math.floor(bits * differing_share(similarity))
-    found = store(_similar_pairs(_candidates(nodes.select("node", "words"), first, width, crowd), side, most), "links").df
-    if not others:
-        return found
-    tied = store(nodes.select("node", "words").join(small(roots(found), 16), "node", "left").select("node", "words", F.coalesce("root", F.lit(0)).alias("root")), "tied")
-    every = [_candidates(tied.df, numbers, width, crowd) for numbers in others]
-    tied.drop()
-    pairs = every[0]
-    for more in every[1:]:
-        pairs = pairs.unionByName(more)
-    return found.unionByName(_similar_pairs(pairs.distinct(), side, most))
+    count, most, segment = bits // width, math.floor(bits * differing_share(similarity)), F.shiftright("key", 1)
+    jobs = [range(at, min(count, at + SEGMENTS_A_JOB)) for at in range(0, count, SEGMENTS_A_JOB)]
+    entries = [nodes.select("node", "words").mapInArrow(_entries(numbers, width), "key long, node long") for numbers in jobs]
+    shared = [store(e.repartition(segment).sortWithinPartitions("key").mapInArrow(_shared, "key long, node long"), "shared") for e in entries]
+    met = shared[0].df
+    for more in shared[1:]:
+        met = met.unionByName(more.df)
+    met = met.join(small(nodes.select("node", "words"), 16 + bits // 8), "node").select("key", "node", "words")
+    dealt = met.repartition(segment).sortWithinPartitions("key", F.xxhash64(segment, "node"))
+    links = store(dealt.mapInArrow(_linked(most, crowd), "a long, b long").distinct(), "links")
+    for part in shared:
+        part.drop()
+    return links.df
 
 
 def similar(docs: DataFrame, similarity: float = SIMILARITY, size: int = SIMILAR_SHINGLE, bits: int = BITS, crowd: int = SIMILAR_CROWD) -> DataFrame:

@@ -243,22 +243,54 @@ def test_similar_texts(spark, crowd):
         assert similarity > 0.4 or found[i] != found[j], (i, j)
 
 
+def together(pairs) -> dict:
+    """The smallest node of each node's component."""
+    least = {x: x for pair in pairs for x in pair}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(least[a], least[b])
+            changed |= least[a] != low or least[b] != low
+            least[a] = least[b] = low
+    return least
+
+
 def test_meeting_in_any_batches():
-    """Entries of a segment meet the same however they are cut into batches."""
+    """Entries of a segment meet and link the same however they are cut into batches."""
     chance = np.random.default_rng(3)
-    key = np.sort(chance.integers(0, 60, 900))
-    order = chance.integers(-(2**62), 2**62, 900)
-    node = (order.view(np.uint64) ^ simhash._finished(key.view(np.uint64) >> np.uint64(1))).view(np.int64)
-    some = node % 4  # 0: not tied yet
-    for crowd, step, root in product((5, 1000), (1, 7, 64, 900), (np.zeros(900, np.int64), some)):
-        cut = [pa.RecordBatch.from_arrays([pa.array(x[i : i + step]) for x in (key, order, root)], ["key", "order", "root"]) for i in range(0, 900, step)]
-        got = {(a, b) for out in simhash._meet(crowd)(iter(cut)) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)}
-        want = set()
-        for group in set(key >> 1):
-            own = np.nonzero(key >> 1 == group)[0]
-            first = own if len(own) <= crowd else own[: simhash.LEADERS]
-            want |= {(min(node[i], node[j]), max(node[i], node[j])) for i in first if key[i] % 2 == 0 for j in own if node[i] != node[j] and (root[i] == 0 or root[i] != root[j])}
-        assert got == want, (crowd, step)
+    key = np.sort(np.concatenate([chance.integers(0, 60, 400), chance.integers(100, 900, 500)]))
+    node = chance.permutation(900).astype(np.int64)
+    base = chance.integers(0, 2**63, (5, 12), dtype=np.uint64)
+    words = base[node % 5] ^ np.array([[sum(1 << int(k) for k in set(chance.integers(0, 64, 7))) for _ in range(12)] for _ in range(900)], np.uint64)
+    segment = key >> 1
+    met = [i for i in range(900) if (segment == segment[i]).sum() > 1 and key[segment == segment[i]][0] % 2 == 0]
+    assert 400 < len(met) < 900
+    most = 140
+    links, leading = [], []
+    for i in met:
+        for j in met:
+            if i < j and segment[i] == segment[j] and key[i] % 2 == 0 and np.bitwise_count(words[i] ^ words[j]).sum() <= most:
+                links.append((int(node[i]), int(node[j])))
+                if i - int(np.nonzero(segment == segment[i])[0][0]) < 5:
+                    leading.append(links[-1])
+    assert 100 < len(leading) < len(links)
+    for step in (1, 7, 64, 900):
+        cut = [pa.RecordBatch.from_arrays([pa.array(key[i : i + step]), pa.array(node[i : i + step])], ["key", "node"]) for i in range(0, 900, step)]
+        out = pa.Table.from_batches(list(simhash._shared(iter(cut))))
+        assert [out["key"].to_pylist(), out["node"].to_pylist()] == [key[met].tolist(), node[met].tolist()], step
+        cut = []
+        for at in range(0, len(met), step):
+            own = met[at : at + step]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * 12), pa.array(words[own].view(np.int64).ravel()))
+            cut.append(pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(node[own]), lists], ["key", "node", "words"]))
+        for crowd in (5, 1000):
+            edges = [(a, b) for out in simhash._linked(most, crowd)(iter(cut)) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)]
+            got, want = together(edges), together(links)
+            if crowd == 1000:
+                assert got == want, step
+            else:  # every link with one of a segment's first entries, and no component more than all links have
+                assert all(got[a] == got[b] for a, b in leading) and all(want[a] == want[b] for a, b in edges), step
     assert simhash.found_share(0.8, 200_000) == pytest.approx(0.908, abs=1e-3) and simhash.found_share(0.9, 200_000) > 0.99
 
 
