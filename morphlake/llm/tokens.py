@@ -21,6 +21,8 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Punctuation that the vocabulary never joins with a letter before it.
 _TAIL = ".,;:!?#$%&*|()"
+#: A text whose ids by the fast path must be the library's: cases, accents, punctuation, figures, scripts, white space.
+_PROBE = "Plain words, don't STOP; Größe naïve Éclair ǅ (x) #tag $3.14 50% a_b-c !! https://example.org/a?b=c\tТекст 日本語\n  the the, End."
 #: Latin letters whose lower case is one letter, and then such punctuation.
 _PLAIN = r"^[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+([.,;:!?#$%&*|()]*)$"
 
@@ -81,13 +83,19 @@ class Encoder:
         return array("I", [t.id for t in self._tokenize(word)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        return array("I", self._tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        return array("I", self.library_ids(chunk)).tobytes()
+
+    def library_ids(self, text: str) -> list[int]:
+        return self._tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder a Python worker, kept from task to task."""
-    return Encoder(path)
+    """One encoder a Python worker, kept from task to task. Raises for a vocabulary whose rules are not the fast path's."""
+    made = Encoder(path)
+    if next(encode_texts(pa.array([_PROBE]), made))[1][:-1].tolist() != made.library_ids(_PROBE):
+        raise ValueError(f"{path}: its normaliser or splitting differs from {VOCABULARY}'s, for which the fast path is written")
+    return made
 
 
 def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:

@@ -8,7 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
-from itertools import combinations, product
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -309,6 +309,12 @@ def test_encoder_equals_library():
     assert at == len(own)
 
 
+def test_other_vocabularies_are_refused():
+    """The fast path is one vocabulary's; another file raises rather than give wrong ids."""
+    with pytest.raises(ValueError, match="fast path"):
+        tokens.encoder(tokens.vocabulary_path("byte_bpe_50k.json"))
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 3000])
 def test_shard_round_trip(n):
     chance = np.random.default_rng(n)
