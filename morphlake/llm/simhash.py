@@ -20,8 +20,11 @@ complete distance is at most that share at ``similarity``. Segments are eight bi
 of distinct fingerprints, so chance candidates stay a few a text at any size; pairs at the threshold share a segment
 within one bit with a probability that ``found_share`` gives (at 200,000 texts 0.91, and 0.99 for a similarity of 0.87), closer ones nearly always. A
 segment's members are compared where they lie together and come out as edges to the smallest one linked, so a family of
-many near copies, or of texts that are alike below the threshold, costs rows in proportion to its members. In a segment of
-more than ``crowd`` members the first ``crowd``, others in every segment, meet all, and the rest meet within ``crowd`` places.
+many near copies, or of texts that are alike below the threshold, costs rows in proportion to its members. In a segment with
+more than ``crowd`` filed members the first ``crowd``, others in every segment, meet all, and the rest meet within ``crowd``
+places; a second pass then compares every two that are not in one component yet, a ``block`` of members against all others
+at a time. So no link between two that meet in a segment is lost; that pass costs time with the square of the members of
+a segment's different components, and rows with that square over ``block``.
 
 Edge cases: null text is empty; texts without words have fingerprint zero and link like any other; texts of fewer words
 than a shingle are one shingle; rows that repeat a doc_id are rows of their own; a null doc_id names a component only if
@@ -156,6 +159,8 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 # Similar texts ------------------------------------------------------------------------------------------------------
 SIMILARITY, SIMILAR_SHINGLE, BITS = 0.8, 5, 768
 SIMILAR_CROWD = 512
+#: Members of a crowded segment that are held while the others pass, and how many pass at a time.
+BLOCK, _PASS = 8_192, 256
 #: Parts that a component's members are dealt to where they meet its smallest doc_id.
 SALTS = 16
 #: Segments whose entries are dealt out in one job.
@@ -341,23 +346,104 @@ def _linked(most: int, crowd: int):
     return run
 
 
-def similar_links(nodes: DataFrame, similarity: float = SIMILARITY, bits: int = BITS, crowd: int = SIMILAR_CROWD) -> DataFrame:
-    """a, b: edges, from a stored table of node and words, that have the components of all links found. What is alone in its
-    segments falls away before the fingerprints are brought to the rest, and no candidate pair is ever a row."""
+def _across(most: int):
+    """From entries in order of segment, block and lead, leads first, to edges (a, b) between the roots that links join:
+    each lead meets every entry of its block if one of the two is filed and their roots are still apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, up, held = None, {}, None
+
+        def top(x: int) -> int:
+            while (above := up.get(x, x)) != x:
+                up[x] = up.get(above, above)
+                x = above
+            return x
+
+        def tops(labels: np.ndarray) -> np.ndarray:
+            values, at = np.unique(labels, return_inverse=True)
+            return np.array([top(v) for v in values.tolist()], np.int64)[at]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            segment, block, root = (batch.column(c).to_numpy() for c in ("segment", "block", "root"))
+            lead, filed = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("lead", "filed"))
+            words, edges = _matrix(batch), []
+            begins = np.nonzero(np.r_[True, (segment[1:] != segment[:-1]) | (block[1:] != block[:-1])])[0].tolist()
+            for start, end in zip(begins, [*begins[1:], len(segment)], strict=True):
+                if group != (group := (segment[start], block[start])):
+                    up.clear()
+                    held = (np.zeros((0, words.shape[1] * 64), np.float32), np.zeros(0, bool), np.zeros(0, np.int64))
+                for at in range(start, end, _PASS):
+                    rows = np.arange(at, min(end, at + _PASS))
+                    signs = np.unpackbits(words[rows].view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+                    new = (signs, filed[rows], tops(root[rows]))
+                    if lead[rows].any():
+                        held = tuple(np.concatenate([h, x[lead[rows]]]) for h, x in zip(held, new, strict=True))
+                    own, is_filed, label = held
+                    if len(label) and (label == label[0]).all():
+                        new = tuple(x[new[2] != label[0]] for x in new)
+                    near = own @ new[0].T >= own.shape[1] - 2 * most  # the product is the number of bits less twice the distance
+                    near &= (label[:, None] != new[2]) & (is_filed[:, None] | new[1])
+                    if near.any():
+                        i, j = np.nonzero(near)
+                        for a, b in np.unique(np.stack([label[i], new[2][j]], axis=1), axis=0).tolist():
+                            a, b = sorted((top(a), top(b)))
+                            if a != b:
+                                up[b] = a
+                                edges.append((a, b))
+                        held = (own, is_filed, tops(label))
+            a, b = np.array(edges, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
+
+
+def _crowded_links(met: DataFrame, nodes: DataFrame, links: DataFrame, most: int, crowd: int, block: int) -> DataFrame:
+    """``links`` (a, b) of all entries ``met`` (key, node), completed for the segments with more than ``crowd`` filed ones."""
+    filed, others = F.col("filed").cast("int"), (~F.col("filed")).cast("int")
+    entries = met.select(F.shiftright("key", 1).alias("segment"), (F.col("key").bitwiseAND(F.lit(1)) == 0).alias("filed"), "node")
+    crowded = store(entries.groupBy("segment").agg(F.sum(filed).alias("n")).filter(F.col("n") > crowd).select("segment"), "crowded")
+    if not crowded.df.limit(1).count():
+        crowded.drop()
+        return links
+    root = roots(links)
+    inside = entries.join(small(crowded.df, 16), "segment").join(root, "node", "left").select("segment", "filed", "node", F.coalesce("root", "node").alias("root"))
+    inside = store(inside, "inside").df
+    parts = inside.groupBy("segment", "root").agg(F.sum(filed).alias("filed"), F.sum(others).alias("others"))
+    sums = parts.groupBy("segment").agg(F.max(F.struct("filed", "root", "others")).alias("most"), F.sum("filed").alias("filed"), F.sum("others").alias("others"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # All filed entries lead; or, where those of the largest component outnumber the other components' probes, these in their place.
+    probes = F.col("others") - F.col("most.others")
+    swap, leads = probes < F.col("most.filed"), F.least(F.col("filed"), F.col("filed") - F.col("most.filed") + probes)
+    plan = store(sums.select("segment", F.col("most.root").alias("largest"), swap.alias("swap"), F.ceil(leads / block).alias("blocks")), "plan").df
+    dealt = inside.join(nodes, "node").join(small(plan, 64), "segment")
+    dealt = dealt.withColumn("lead", F.when(F.col("root") == F.col("largest"), F.col("filed") & ~F.col("swap")).otherwise(F.col("filed") | F.col("swap")))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("lead"), F.col("own")).otherwise(F.col("blocks") - 1))))
+    dealt = dealt.select("segment", "block", (F.col("lead") & (F.col("block") == F.col("own"))).alias("lead"), "filed", "root", "words")
+    dealt = dealt.repartition("segment", "block").sortWithinPartitions("segment", "block", F.desc("lead"))
+    more = store(dealt.mapInArrow(_across(most), "a long, b long").distinct(), "links").df
+    return root.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more)
+
+
+def similar_links(nodes: DataFrame, similarity: float = SIMILARITY, bits: int = BITS, crowd: int = SIMILAR_CROWD, block: int = BLOCK) -> DataFrame:
+    """a, b: edges, from a stored table of node and words, that have the components of all links between fingerprints that meet
+    in a segment. What is alone in its segments falls away before the fingerprints are brought to the rest, and no candidate
+    pair is ever a row."""
     width = segment_width(nodes.count())
     count, most, segment = bits // width, math.floor(bits * differing_share(similarity)), F.shiftright("key", 1)
     jobs = [range(at, min(count, at + SEGMENTS_A_JOB)) for at in range(0, count, SEGMENTS_A_JOB)]
     entries = [nodes.select("node", "words").mapInArrow(_entries(numbers, width), "key long, node long") for numbers in jobs]
     shared = [store(e.repartition(segment).sortWithinPartitions("key").mapInArrow(_shared, "key long, node long"), "shared") for e in entries]
-    met = shared[0].df
+    entered = shared[0].df
     for more in shared[1:]:
-        met = met.unionByName(more.df)
-    met = met.join(small(nodes.select("node", "words"), 16 + bits // 8), "node").select("key", "node", "words")
+        entered = entered.unionByName(more.df)
+    prints = small(nodes.select("node", "words"), 16 + bits // 8)
+    met = entered.join(prints, "node").select("key", "node", "words")
     dealt = met.repartition(segment).sortWithinPartitions("key", F.xxhash64(segment, "node"))
-    links = store(dealt.mapInArrow(_linked(most, crowd), "a long, b long").distinct(), "links")
+    links = _crowded_links(entered, prints, store(dealt.mapInArrow(_linked(most, crowd), "a long, b long").distinct(), "links").df, most, crowd, block)
     for part in shared:
         part.drop()
-    return links.df
+    return links
 
 
 def similar(docs: DataFrame, similarity: float = SIMILARITY, size: int = SIMILAR_SHINGLE, bits: int = BITS, crowd: int = SIMILAR_CROWD) -> DataFrame:

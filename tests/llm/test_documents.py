@@ -294,6 +294,50 @@ def test_meeting_in_any_batches():
     assert simhash.found_share(0.8, 200_000) == pytest.approx(0.908, abs=1e-3) and simhash.found_share(0.9, 200_000) > 0.99
 
 
+def crowded_prints() -> np.ndarray:
+    """Fingerprints that meet others of theirs in the first 16 bits alone, where most have one value and some lack a bit of
+    it: pairs, chains of three and families, in a crowd of fingerprints without a partner."""
+    chance = np.random.default_rng(8)
+
+    def near(bits: np.ndarray) -> np.ndarray:  # two bits changed in each other segment
+        out = bits.copy()
+        for at in range(16, 768, 16):
+            out[at + chance.choice(16, 2, replace=False)] ^= 1
+        return out
+
+    rows = []
+    for length in [1] * 60 + [2] * 30 + [3] * 10:
+        rows.append(chance.integers(0, 2, 768).astype(np.uint8))
+        rows[-1][:16] = 1
+        for _ in range(length - 1):
+            rows.append(near(rows[-1]))
+            if len(rows) % 4 == 0 and length == 2:
+                rows[-1][chance.integers(0, 16)] = 0
+    base = rows[0]
+    for _ in range(40):
+        rows.append(base.copy())
+        rows[-1][16 + chance.integers(0, 752, 30)] ^= 1
+    return np.packbits(np.array(rows), axis=1, bitorder="little").view("<u8")
+
+
+def links_in_segments(words: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of rows within one bit in a segment whose complete distance is small enough."""
+    most, width = int(simhash.BITS * simhash.differing_share(0.8)), simhash.segment_width(len(words))
+    bits = [int.from_bytes(w.tobytes(), "little") for w in words]
+    meet = lambda x: any((x >> k * width & (1 << width) - 1).bit_count() <= 1 for k in range(simhash.BITS // width))
+    return [(i, j) for i, j in combinations(range(len(bits)), 2) if (bits[i] ^ bits[j]).bit_count() <= most and meet(bits[i] ^ bits[j])]
+
+
+@pytest.mark.parametrize(("crowd", "block"), [(2, 7), (2, 8192), (20, 50)])
+def test_crowded_segments_lose_no_link(spark, crowd, block):
+    words = crowded_prints()
+    want = links_in_segments(words)
+    nodes = spark.createDataFrame([(i, w.view("<i8").tolist()) for i, w in enumerate(words)], "node long, words array<bigint>")
+    edges = [(r["a"], r["b"]) for r in simhash.similar_links(nodes, crowd=crowd, block=block).collect()]
+    assert together(edges) == together(want) and len(want) > 100
+    assert len(edges) < 3 * len(words)
+
+
 # Tokens -------------------------------------------------------------------------------------------------------------
 def test_encoder_equals_library():
     chance = random.Random(1)
