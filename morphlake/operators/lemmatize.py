@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
@@ -19,6 +20,8 @@ from morphlake.operators.lookup import COLUMNAR, SINGLE_THREAD, Variant, lookup,
 
 #: Dictionary rows that the Arrow plan gives every worker at most; beyond them ``plan="auto"`` joins.
 ARROW_ROWS = 1_000_000
+#: Bytes of text that a worker looks up at a time at most; a longer text is looked up alone.
+SLICE_BYTES = 8 << 20
 TOKENIZERS = {"whitespace": tokens_whitespace, "single_space": tokens_single_space}
 
 
@@ -58,20 +61,53 @@ def collected(dictionary: DataFrame, variant: Variant, most: int = ARROW_ROWS) -
 
 
 def shared_map(spark: SparkSession, rows: pa.Table) -> Broadcast:
-    return spark.sparkContext.broadcast(dict(zip(rows["key"].to_pylist(), rows["lemma"].to_pylist(), strict=True)))
+    """The dictionary as Arrow columns: its bytes and offsets, where a dict would have objects of some 200 bytes a row in every worker."""
+    return spark.sparkContext.broadcast(rows.combine_chunks())
+
+
+def sliced(batches: Iterator[pa.RecordBatch], at: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in batches of at most so many bytes of column ``at`` or one row: large ones are cut, small ones put together."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        first = 0
+        while first < batch.num_rows:
+            before = int(ends[first - 1]) if first else 0
+            last = int(np.searchsorted(ends, before + most - size, "right"))
+            if last <= first and held:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+                continue
+            last = max(last, first + 1)
+            held.append(batch.slice(first, last - first))
+            size += int(ends[last - 1]) - before
+            first = last
+    if held:
+        yield pa.concat_batches(held)
+
+
+def places(tokens: pa.Array, keys: pa.ChunkedArray) -> pa.Array:
+    """Each token's row among the keys, null where it is none. The tokens, which are fewer and different, are hashed."""
+    met = pc.fill_null(pc.index_in(keys, value_set=tokens), -1).to_numpy()
+    rows = np.flatnonzero(met >= 0)
+    found = np.full(len(tokens), -1, np.int64)
+    found[met[rows]] = rows
+    return pa.array(found, mask=found < 0)
 
 
 def by_arrow(texts: DataFrame, shared: Broadcast, keys: list[str], text: str, tokenizer: str, variant: Variant, out: str, blank: bool = False) -> DataFrame:
     """The Arrow plan with a dictionary from ``shared_map``."""
     split = (lambda x: pc.ascii_split_whitespace(pc.ascii_trim_whitespace(x))) if tokenizer == "whitespace" else (lambda x: pc.split_pattern(x, " "))
 
+    most = SLICE_BYTES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
-        for batch in batches:
+        rows = shared.value
+        for batch in sliced(batches, len(keys), most):
             pieces = split(batch.column(len(keys)))
             tokens = pieces.flatten().dictionary_encode()
-            known = tokens.dictionary.cast(pa.binary()).to_pylist()
-            lemmas = pa.array([get(t, t) for t in known], pa.binary()).take(tokens.indices)
+            known = tokens.dictionary.cast(pa.binary())
+            lemmas = pc.coalesce(rows["lemma"].take(places(known, rows["key"])).combine_chunks(), known).take(tokens.indices)
             joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(pieces.offsets.to_numpy() - pieces.offsets[0].as_py(), pa.int32()), lemmas), b" ")
             if blank:
                 bare = pc.equal(pc.binary_length(pc.ascii_trim_whitespace(batch.column(len(keys)))), 0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +228,23 @@ def test_metrics_and_demonstration(spark, tmp_path, capsys):
     assert len(lines) == 24 and lines[0] == "теплому теплий" and lines[3] == "українська українська"
     took = m.phase_times({"one": lambda: spark.range(3), "two": lambda: spark.range(3)})
     assert took["total"] == took["one"] + took["two"] > 0
+
+
+def test_arrow_plan_holds_little(spark, monkeypatch):
+    """A dictionary is shared as columns, not as objects; texts are looked up in slices of bounded size, whatever the batches."""
+    rows = pa.table({"key": pa.array([b"wordform%d" % i for i in range(100_000)]), "lemma": pa.array([b"lemma%d" % i for i in range(100_000)])})
+    shared = z.shared_map(spark, rows)
+    assert isinstance(shared.value, pa.Table) and shared.value.nbytes < 40 * rows.num_rows
+    texts = ["a" * n for n in (3, 50, 4, 4, 0, 1, 9, 10, 11)] + [None, "b"]
+    batch = pa.record_batch({"id": pa.array(range(11)), "text": pa.array(texts)})
+    for given in ([batch], [batch.slice(i, 1) for i in range(11)], [batch.slice(0, 0), batch.slice(0, 7), batch.slice(7)]):
+        made = list(z.sliced(iter(given), 1, 10))
+        assert [r for b in made for r in b.to_pylist()] == batch.to_pylist()
+        assert all(sum(len(t or "") for t in b["text"].to_pylist()) <= 10 or b.num_rows == 1 for b in made)
+    monkeypatch.setattr(z, "SLICE_BYTES", 10)
+    frame = spark.createDataFrame([(i, f"wordform{i} x  wordform{2 * i} ") for i in range(300)], "id int, text string")
+    dictionary = spark.range(500).select(F.concat(F.lit("wordform"), "id").alias("key"), F.when(F.col("id") != 7, F.concat(F.lit("lemma"), "id")).alias("lemma"))
+    lemma = lambda i: f"lemma{i}" if i < 500 and i != 7 else f"wordform{i}"
+    for plan in ("join", "arrow"):
+        found = {r["id"]: r["lemmatized"] for r in z.lemmatize_columnar(frame, dictionary, ["id"], plan=plan).collect()}
+        assert found == {i: f"{lemma(i)} x  {lemma(2 * i)} " for i in range(300)}, plan
