@@ -248,3 +248,40 @@ def test_arrow_plan_holds_little(spark, monkeypatch):
     for plan in ("join", "arrow"):
         found = {r["id"]: r["lemmatized"] for r in z.lemmatize_columnar(frame, dictionary, ["id"], plan=plan).collect()}
         assert found == {i: f"{lemma(i)} x  {lemma(2 * i)} " for i in range(300)}, plan
+
+
+def _plain(text: str, dictionary: dict[str, str], variant: k.Variant) -> str | None:
+    """One text by the variant's rules, white-space tokens, ASCII."""
+    done = []
+    for token in (text.lower() if variant.lower else text).split():
+        cut = token if variant.token_bytes is None else token[: variant.token_bytes]
+        if cut in dictionary:
+            lemma = dictionary[cut]
+            done.append(token if variant.empty_is_miss and not lemma else lemma if variant.lemma_bytes is None else lemma[: variant.lemma_bytes])
+        elif variant.misses:
+            done.append(cut)
+    return " ".join(done) if done else None
+
+
+def test_join_plan_makes_no_row_a_token(spark, monkeypatch):
+    """Texts are exchanged once and nothing is regrouped token by token, whatever the size of the dictionary; all variants."""
+    chance = random.Random(5)
+    pieces = ["a", "Ab", "w" * 31, "w" * 32, "w" * 33, "none", "gone", "End"]
+    rows = [(i, " ".join(chance.choices(pieces, k=chance.randint(0, 60)))) for i in range(200)] + [(200, "none gone"), (201, None)]
+    texts = spark.createDataFrame(rows, "id int, text string")
+    lemmas = {"a": "LEMMA", "Ab": "kept", "ab": "", "end": "e" * 40, "w" * 31: "slot", "w" * 32: "x" * 32}
+    dictionary = spark.createDataFrame(list(lemmas.items()), "key string, lemma string")
+    monkeypatch.setattr(z, "SLICE_BYTES", 300)
+    monkeypatch.setattr(z, "CHUNK_BYTES", 1000)
+    for large in (False, True):
+        if large:
+            monkeypatch.setattr(z, "sized", lambda d: d.hint("merge"))
+        for variant in k.VARIANTS.values():
+            found = z.lemmatize_texts(texts, dictionary, ["id"], variant=variant, plan="join")
+            wanted = {i: t for i, text in rows if text is not None and (t := _plain(text, lemmas, variant)) is not None}
+            assert {r["id"]: r["lemmatized"] for r in found.collect()} == wanted, (large, variant)
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "collect_list" not in plan and plan.count("REPARTITION_BY_COL") == 2 and plan.count("ReusedExchange") == 1
+    none = dictionary.limit(0)
+    assert {r["id"] for r in z.lemmatize_texts(texts, none, ["id"], variant=k.SINGLE_THREAD, plan="join").collect()} == {i for i, t in rows if t}
+    assert z.lemmatize_texts(texts.limit(0), dictionary, ["id"], plan="join").count() == 0
